@@ -1,21 +1,23 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Sets are ordered by (document frequency, token). Two sets with Jaccard similarity s or more share at least ``EXT``
-tokens within their prefixes of length ``n - ceil(s n) + EXT``, where EXT = 1 + (k - 1) over the token classes:
-either one rare token or ``k = 2`` frequent ones. So rare tokens are indexed singly, frequent ones as pairs, and
-every pair of similar sets meets under a common signature. In very long sets pairs would be too many: there every
-token is indexed singly; sets near that length carry both kinds, so that no pair is missed.
+Tokens (shingles) are ordered by (document frequency, value). Two sets of similarity s or more share at least L tokens
+within their prefixes of n - ceil(s n) + L tokens. Tokens of low frequency are indexed singly. Frequent ones are dealt
+by a hash into g = L - 1 classes, and pairs within a class are indexed: of L shared frequent tokens, two fall into the
+same class. With g in proportion to the size of the sets, a set has signatures in proportion to its size. g depends on
+the size class (powers of two); sets near the limit of a class carry the signatures of both. A set whose prefix for
+L = 1 has only rare tokens needs no more than these. So every pair of similar sets meets under a common signature.
 
 Steps, each on all rows:
 
 1. Every text becomes a sorted array of 64-bit shingle hashes and a 96-bit id of the set. Equal sets become one.
 2. Tokens go, packed as byte planes, to partitions by value; those found in two or more sets go back to their set
    with the frequency. A token of one set only can't be shared: it only fills the prefix.
-3. Sets whose prefix still has shared tokens are written out with all their shared tokens: enough for exact overlaps.
-4. In every signature's list all members are compared with one hub; exact checks give edges and components. Lists
-   whose members then sit in several components go on: to more hubs while the lists are long, then to all pairs of
-   different components that the triangle inequality of the Jaccard distance doesn't rule out. So the components
-   are exact, while a list of one group of near copies costs its length, not its square.
+3. Sets with enough shared tokens for any link are written out, with these tokens (enough for exact overlaps) and a
+   1024-bit parity map of them, which bounds the difference of two sets from below.
+4. In the list of a signature, members are compared with a hub of the list; each member takes its nearest hub, and an
+   exact overlap decides. Lists with members in several components go on with other hubs, while that finds links.
+   Then all pairs of different components in such a list are tested, by parity maps inside the join, then exactly.
+   So the components are exact, while a list that is one group of near copies costs its length, not its square.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, saved, small_batches
 
-EXT = 2
+MAP_BITS = 1024
 NO_ID = -(1 << 63)
 FLUSH_TOKENS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -221,16 +223,18 @@ def return_shared(parts: int):
     return lambda batches: chunks(rows(batches))
 
 
-SETS = "kind int, doc_id long, n long, rep long, in_prefix int, rare int, shared array<long>"
+SETS = "kind int, doc_id long, n long, rep long, rare int, shared array<long>, parity array<long>"
 
 
 def gather_sets(percent: int, rare_df: int):
-    """Documents (kind 0) with their set's smallest doc_id, and (kind 1) the sets whose prefix has shared tokens."""
+    """Documents (kind 0) with their set's smallest doc_id, and (kind 1) the sets with shared tokens enough for a link:
+    these tokens by frequency, how many of them are rare, and their parity map."""
 
-    def emit(kind, doc_id, n, rep, in_prefix, rare, shared):
+    def emit(kind, doc_id, n, rep, rare, shared, parity):
         size = len(n)
         fill = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int32()), fill(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(rep, pa.int64()), fill(in_prefix, pa.int32()), fill(rare, pa.int32()), fill(shared, pa.list_(pa.int64()))], ["kind", "doc_id", "n", "rep", "in_prefix", "rare", "shared"])
+        cols = [pa.array(np.full(size, kind), pa.int32()), fill(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(rep, pa.int64()), fill(rare, pa.int32()), fill(shared, pa.list_(pa.int64())), fill(parity, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "rep", "rare", "shared", "parity"])
 
     def run(batches):
         for _, held in by_part(batches):
@@ -261,11 +265,10 @@ def gather_sets(percent: int, rare_df: int):
             out = []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 total, who = size[int(shi[a]), int(slo[a])]
-                left = total + (-percent * total // 100) + EXT - (total - (b - a))
-                if left < EXT or who == NO_ID:
+                if who == NO_ID or 100 * (b - a) < percent * total:
                     continue
-                left = min(left, b - a)
-                out.append((total, who, left, int((df[a : a + left] <= rare_df).sum()), tok[a:b]))
+                bits = np.bincount(tok[a:b].view(np.uint64) % np.uint64(MAP_BITS) , minlength=MAP_BITS).astype(np.uint8) & 1
+                out.append((total, who, int((df[a:b] <= rare_df).sum()), tok[a:b], np.packbits(bits).view(np.int64)))
                 if len(out) == 2000:
                     yield emit(1, None, *zip(*out, strict=True))
                     out = []
@@ -275,24 +278,43 @@ def gather_sets(percent: int, rare_df: int):
     return run
 
 
-def signatures(percent: int, pair_limit: int):
-    """(signature, rep) rows of the sets: rare tokens singly, frequent ones in pairs, in very long sets all singly."""
-    low, high = pair_limit * percent // 100, -(-pair_limit * 100 // percent)
+def size_classes(n: int, percent: int) -> list[int]:
+    """The size classes in which a set of ``n`` tokens meets all sets of similar size."""
+    low, high = -(-percent * n // 100), n * 100 // percent
+    return list(range(low.bit_length(), high.bit_length() + 1))
+
+
+def set_signatures(n: int, rare: int, shared: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set: ``shared`` holds its tokens of frequency 2 or more, the first ``rare`` of them rare."""
+    lone, slack = n - len(shared), n + (-percent * n // 100)  # slack: tokens that a similar set may miss
+    if slack + 1 - lone <= rare:
+        return shared[: max(0, slack + 1 - lone)]
+    out, longest = [], 0
+    for c in size_classes(n, percent):
+        g = max(1, min((100 - percent) * (1 << c) // 150, percent * percent * (1 << c) // 20_000 - 1))
+        end = min(len(shared), slack + g + 1 - lone)
+        longest = max(longest, end)
+        often = shared[rare:end]
+        lot = ((often * _M1) >> np.uint64(33)) % np.uint64(g)
+        order = np.lexsort((often, lot))
+        often, lot = often[order], lot[order]
+        for k in range(1, len(often)):
+            same = lot[k:] == lot[:-k]
+            if not same.any():
+                break
+            x = (often[:-k][same] * _M1) ^ (often[k:][same] + _M2 * np.uint64(c))
+            out.append((x ^ (x >> np.uint64(31))) * _M2)
+    return np.concatenate([shared[: min(rare, longest)], *out])
+
+
+def signatures(percent: int):
+    """(sig, id) rows of the sets."""
 
     def run(batches):
         for b in batches:
-            for rep, n, left, rare, shared in zip(*(b.column(k) for k in range(5)), strict=True):
-                n, left, rare = n.as_py(), left.as_py(), rare.as_py()
-                tok = shared.values.to_numpy(zero_copy_only=False)[:left].view(np.uint64)
-                sigs = [tok[:rare]]
-                if n >= low:
-                    sigs.append(tok[rare:])
-                if n <= high:
-                    f = np.sort(tok[rare:])
-                    for k in range(1, len(f)):
-                        x = (f[:-k] * _M1) ^ (f[k:] + _M2)
-                        sigs.append((x ^ (x >> np.uint64(31))) * _M2)
-                all_ = np.concatenate(sigs).view(np.int64)
+            for rep, n, rare, shared in zip(*(b.column(k) for k in range(4)), strict=True):
+                tok = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                all_ = set_signatures(n.as_py(), rare.as_py(), tok, percent).view(np.int64)
                 for a in range(0, len(all_), 200_000):
                     s = all_[a : a + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), rep.as_py()), pa.int64())], ["sig", "id"])
@@ -301,19 +323,27 @@ def signatures(percent: int, pair_limit: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact overlaps of pairs (a, b): rows (a, b, dist double, linked boolean)."""
+    """Pairs (a, b) with ``linked`` boolean, by exact overlaps."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    both = both.withColumn("all", F.col("na") + F.col("nb") - F.col("inter"))
-    return both.select("a", "b", (1 - F.col("inter") / F.col("all")).alias("dist"), (100 * F.col("inter") >= percent * F.col("all")).alias("linked"))
+    return both.select("a", "b", (100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter"))).alias("linked"))
 
 
-def similar_sizes(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def least_difference(x: str, y: str) -> Column:
+    """A lower bound of the difference of two sets (structs of ``lone`` tokens and a ``parity`` map)."""
+    bits = F.aggregate(F.zip_with(f"{x}.parity", f"{y}.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    return F.col(f"{x}.lone") + F.col(f"{y}.lone") + bits
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, rare_df: int = 32, pair_limit: int = 1000, hub_rounds: int = 4) -> DataFrame:
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only if the sets can't be similar enough: similarity s bounds the difference by (1 - s) / (1 + s) of both sizes."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    size = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+    return size & ((100 + percent) * least_difference(x, y) <= (100 - percent) * both)
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, rare_df: int = 32, max_rounds: int = 8) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns one row per input row: ``id_col`` long, ``n_shingles`` long (set size), ``copy_of`` long (smallest id with
@@ -324,10 +354,11 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     is returned with null ids and linked with nothing; rows that repeat an id are all returned, each with the component
     of its own text; an empty table gives an empty result; other columns are neither read nor returned.
 
-    ``rare_df``: up to this frequency tokens are indexed singly. ``pair_limit``: set size from which frequent tokens
-    are indexed singly too. ``hub_rounds``: most rounds of hub comparisons before all that is left is compared. None
-    of the three changes the result.
+    ``rare_df``: up to this frequency tokens are indexed singly. ``max_rounds``: most rounds of hub comparisons before
+    all that is left is compared. Neither changes the result.
     """
+    if not 51 <= percent <= 99:
+        raise ValueError("percent must lie between 51 and 99")
     spark = docs.sparkSession
     small_batches(spark)
     parts = partitions(spark)
@@ -336,48 +367,57 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     moved = moved.mapInArrow(return_shared(parts), PACKED).repartition(parts, "part").sortWithinPartitions("part")
     all_sets = saved(moved.mapInArrow(gather_sets(percent, rare_df), SETS), "sets", partition_by="kind")
     members = all_sets.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    sets = all_sets.where("kind = 1").select("rep", "n", "in_prefix", "rare", "shared")
+    sets = all_sets.where("kind = 1").select("rep", "n", "rare", "shared", "parity")
 
-    links = set_links(sets, percent, pair_limit, hub_rounds)
-    comp = components(links)
+    comp = components(set_links(sets, percent, max_rounds))
     out = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    out = out.select("doc_id", "n_shingles", F.when(known, F.col("rep")).alias("copy_of"), F.when(known, F.coalesce("component", "rep")).alias("component_id"))
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def set_links(sets: DataFrame, percent: int, pair_limit: int, hub_rounds: int) -> DataFrame:
+def set_links(sets: DataFrame, percent: int, max_rounds: int) -> DataFrame:
     """Edges (a, b) between sets that span every component of the similarity graph."""
-    sigs = sets.select("rep", "n", "in_prefix", "rare", "shared").mapInArrow(signatures(percent, pair_limit), "sig long, id long")
-    heads = sigs.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("size")).where("hub < last")
-    sigs = saved(sigs.join(heads, "sig").select("sig", "id", "hub", "size"), "sigs")
-    sizes = sets.select(F.col("rep").alias("id"), "n")
-    cut_off = 1 - percent / 100 + 1e-9
-
-    pairs = sigs.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    known = saved(verified(pairs, sets, percent), "checked")
-    for round_ in range(1, hub_rounds + 1):
-        comp = components(known.where("linked").select("a", "b"))
-        at = sigs.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = at.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("sig")
-        at = saved(at.join(split, "sig", "left_semi").join(sizes, "id"), "open")
-        groups = at.groupBy("sig", "component").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        members, todo = groups.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
-        if members == 0:
-            return known.where("linked").select("a", "b")
-        if todo <= 8 * members or round_ == hub_rounds:
+    sigs = sets.select("rep", "n", "rare", "shared").mapInArrow(signatures(percent), "sig long, id long")
+    many = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
+    open_ = saved(sigs.join(many, "sig", "left_semi"), "sigs")
+    facts = sets.select(F.col("rep").alias("id"), F.struct("n", (F.col("n") - F.size("shared")).alias("lone"), "parity").alias("s"))
+    links, tried, comp = None, None, None
+    for round_ in range(max_rounds + 1):
+        at = open_
+        if links is not None:
+            comp = components(links)
+            at = at.join(comp, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        else:
+            at = at.withColumn("component", F.col("id"))
+        split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+        at = saved(at.join(split, "sig", "left_semi"), "open")
+        if at.isEmpty():
             break
-        pick = at.groupBy("sig").agg(F.min_by(F.struct("id", "component", "n"), F.xxhash64("id", F.lit(round_))).alias("h"))
-        fresh = at.join(pick, "sig").where("h.component <> component").where(similar_sizes("h.n", "n", percent))
-        fresh = fresh.select(F.least("h.id", "id").alias("a"), F.greatest("h.id", "id").alias("b")).distinct()
-        fresh = fresh.join(known, ["a", "b"], "left_anti")
-        known = known.unionByName(saved(verified(fresh, sets, percent), "checked"))
-
-    # what is left: all pairs of a list that sit in different components and aren't ruled out by their hub
-    far = known.select(F.col("a").alias("hub"), F.col("b").alias("id"), "dist").unionByName(known.select(F.col("b").alias("hub"), F.col("a").alias("id"), "dist"))
-    at = at.join(far, ["hub", "id"], "left").withColumn("dist", F.when(F.col("hub") == F.col("id"), F.lit(0.0)).otherwise(F.col("dist")))
-    one = at.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("dist").alias("da"))
-    two = at.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("dist").alias("db"))
-    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= cut_off, F.lit(True))
-    rest = one.join(two, "sig").where("a < b AND ca <> cb").where(similar_sizes("na", "nb", percent)).where(near).select("a", "b").distinct()
-    rest = rest.join(known, ["a", "b"], "left_anti")
-    return saved(known.where("linked").select("a", "b").unionByName(verified(rest, sets, percent).where("linked").select("a", "b")), "links")
+        open_, full = at.select("sig", "id"), at.join(facts, "id")
+        if round_ < max_rounds:
+            first = F.col("id") if round_ == 0 else F.xxhash64("id", F.lit(round_))
+            hubs = at.groupBy("sig").agg(F.min_by(F.struct("id", "component"), first).alias("h"))
+            hubs = hubs.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
+            offers = at.join(hubs, "sig").where("hub_component <> component").select("hub", "id").distinct()
+            offers = offers.join(facts, "id").join(facts.select(F.col("id").alias("hub"), F.col("s").alias("hs")), "hub").where(may_link("s", "hs", percent))
+            offers = offers.select("id", "hub", least_difference("s", "hs").alias("d"))
+            if tried is not None:
+                offers = offers.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_anti")
+            pairs = offers.groupBy("id").agg(F.min_by("hub", F.struct("d", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        else:
+            pairs = None
+        found = saved(verified(pairs, sets, percent), "checked") if pairs is not None else None
+        if found is not None:
+            tried = found if tried is None else tried.unionByName(found)
+            good = found.where("linked").select("a", "b")
+            links = good if links is None else links.unionByName(good)
+            if not good.isEmpty():
+                continue
+        # hubs find nothing more: all pairs of different components in a list
+        one = full.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s").alias("x"))
+        two = full.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s").alias("y"))
+        rest = one.join(two, (one["sig"] == two["sig"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("x", "y", percent)).select("a", "b").distinct()
+        good = verified(rest, sets, percent).where("linked").select("a", "b")
+        return saved(good if links is None else links.unionByName(good), "links")
+    return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")

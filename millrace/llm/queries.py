@@ -12,8 +12,11 @@ from .kd_sharding import kd_shards
 from .mixing import mix
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .labelled import held_out
+from .quality_nbsvm import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .sql import ORACLE_SQL
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    judged = score_toxicity(docs, model, carry=["doc_id"])
+    return judged.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    judged = score_quality(docs, model, carry=["doc_id"])
+    return judged.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,7 +67,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_kd_sharding, op6_length_packing, op8_source_mixing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_classifier, op5_kd_sharding, op6_length_packing, op8_source_mixing, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
