@@ -18,6 +18,7 @@ from .quality_nbsvm import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .sql import ORACLE_SQL
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import ListedRule, filter_urls, mine_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,17 @@ def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+LISTED = [ListedRule("allow", "com"), ListedRule("block", "example.com", "/en/"), ListedRule("allow", "www.example.com", "/en/"), ListedRule("block", "net", "/es/"), ListedRule("block", "net", "/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # labels carry one id for all tables: a page is bad if its row there is of low quality or toxic
+    bad = (F.min("quality") == 0) | (F.max("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.cast("int").alias("bad"))
+    return filter_urls(pages, LISTED, mine_rules(pages.join(labels, "page_id").select("url", "bad")))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -72,7 +84,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_classifier, op4_embedding_dedup, op5_kd_sharding, op6_length_packing, op8_source_mixing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_classifier, op4_embedding_dedup, op5_kd_sharding, op6_length_packing, op7_url_filter, op8_source_mixing, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
