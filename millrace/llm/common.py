@@ -38,6 +38,11 @@ def saved(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lowers the Arrow batch size of the session to ``rows``; never raises it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

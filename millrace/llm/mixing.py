@@ -119,18 +119,43 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *,
     Defined results: null categories belong to ``*``; a null text has no tokens, and a cell without tokens is kept; a
     row that repeats an id is decided like the first; an empty table gives an empty result; other columns are ignored.
     """
-    spec = targets or TARGETS
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *([F.col(topic_col).alias("topic")] if topic_col else []))
+    rows, goals = _with_cells(rows, targets or TARGETS)
+    rows = saved(rows.select("doc_id", *DIMS, "n_tokens", *CELL), "mix")
+    probs = _probabilities(rows, goals, budget_share, sweeps)
+    out = rows.join(probs, CELL).withColumn("sampled", _draw(F.col("doc_id"), seed) < F.col("prob"))
+    return out.select("doc_id", *DIMS, "n_tokens", "weight", "prob", "sampled")
+
+
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget_share: float = 0.9, sweeps: int = 40, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source and any others) that ``mix`` samples, decided alike, with their
+    columns. Texts are read twice but don't move: cells are summed first, and the bounded table of cells is broadcast."""
+    kept = [F.col(f"__row.{c}") for c in docs.columns]
+    rows = docs.select("doc_id", "source", "lang", "text", F.struct(*docs.columns).alias("__row"))
+    rows, goals = _with_cells(rows, targets or TARGETS)
+    probs = _probabilities(rows, goals, budget_share, sweeps)
+    return rows.join(probs, CELL).where(_draw(F.col("doc_id"), seed) < F.col("prob")).select(*kept)
+
+
+CELL = ["__c0", "__c1", "__c2"]
+
+
+def _with_cells(rows: DataFrame, spec: dict[str, dict[str, float]]) -> tuple[DataFrame, list[list[float]]]:
     names = {d: [*(k for k in spec[d] if k != REST), REST] for d in DIMS}
-    goals = [[float(spec[d].get(n, 0.0)) for n in names[d]] for d in DIMS]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(topic_col).cast("string").alias("topic")] if topic_col else []))
-    rows = rows.withColumn("n_tokens", word_count(F.col("text")))
-    if not topic_col:
-        rows = rows.withColumn("topic", shape_topic(F.col("text"), F.col("n_tokens")))
-    rows = rows.select("doc_id", *DIMS, "n_tokens", *(_class_of(F.col(d), names[d]).alias(f"c{i}") for i, d in enumerate(DIMS)))
-    rows = saved(rows, "mix")
-    cells = rows.groupBy("c0", "c1", "c2").agg(F.sum("n_tokens").cast("double").alias("tokens"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = rows.withColumns({"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "n_tokens": word_count(text)})
+    rows = rows.withColumn("topic", F.col("topic").cast("string") if "topic" in rows.columns else shape_topic(text, F.col("n_tokens")))
+    rows = rows.withColumns({c: _class_of(F.col(d), names[d]) for c, d in zip(CELL, DIMS, strict=True)})
+    return rows, [[float(spec[d].get(n, 0.0)) for n in names[d]] for d in DIMS]
+
+
+def _probabilities(rows: DataFrame, goals: list[list[float]], budget_share: float, sweeps: int) -> DataFrame:
+    cells = rows.groupBy(*(F.col(c).alias(c[2:]) for c in CELL)).agg(F.sum("n_tokens").cast("double").alias("tokens"))
+    probs = saved(cell_probabilities(cells, goals, budget_share, sweeps), "cells")
     # as many rows as the targets have combinations, at most
-    probs = F.broadcast(saved(cell_probabilities(cells, goals, budget_share, sweeps), "cells"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = rows.join(probs, ["c0", "c1", "c2"]).withColumn("sampled", draw < F.col("prob"))
-    return out.select("doc_id", *DIMS, "n_tokens", "weight", "prob", "sampled")
+    return F.broadcast(probs.select(*(F.col(c[2:]).alias(c) for c in CELL), "weight", "prob"))
+
+
+def _draw(id_: Column, seed: int) -> Column:
+    """A number in [0, 1) by the id alone."""
+    return F.shiftrightunsigned(F.xxhash64(id_, F.lit(seed)), 11) / F.lit(float(1 << 53))
