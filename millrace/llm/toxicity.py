@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import saved, small_batches
 from .labelled import Isotonic, labelled_sample, scored
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,34 +39,98 @@ def features(text: str | None) -> Counter:
     return out
 
 
-def known_features(text: str | None, terms: dict[str, int], heads: dict[int, dict[str, int]]) -> dict[int, int]:
-    """Counts of the vocabulary's terms in a text."""
-    out: dict[int, int] = {}
-    if text:
-        for w, n in Counter(WORD.findall(text.lower())).items():
-            if (t := terms.get(w)) is not None:
-                out[t] = out.get(t, 0) + n
-            for k, d in heads.items():
-                if len(w) > k and (t := d.get(w[:k])) is not None:
-                    out[t] = out.get(t, 0) + n
-    return out
-
+class Vocabulary:
+    """The chosen terms, for counting them in a text."""
 
-def choose_terms(counts: dict[str, tuple[int, int]], n0: int, n1: int, most: int, least_g2: float) -> list[str]:
-    """The terms that mark label 1: by the likelihood ratio of their documents in both classes, largest first."""
-    found = []
-    total = n0 + n1
-    for term, (a0, a1) in counts.items():
-        if a1 < 2 or a1 * n0 <= a0 * n1:
-            continue
-        g2 = 0.0
-        for seen, n in ((a0, n0), (a1, n1)):
-            for o, e in ((seen, (a0 + a1) * n / total), (n - seen, (total - a0 - a1) * n / total)):
-                if o > 0:
-                    g2 += 2 * o * np.log(o / e)
-        if g2 >= least_g2:
-            found.append((-g2, term))
-    return [t for _, t in sorted(found)[:most]]
+    def __init__(self, terms: list[str]):
+        self.size = len(terms)
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.heads = {n: {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*") and len(t) == n + 1} for n in HEADS}
+        # most words fail on their first letters
+        self.starts = {t.rstrip("*")[: HEADS[0]] for t in terms}
+
+    def count(self, text: str | None) -> dict[int, int]:
+        """Counts of the vocabulary's terms in a text, by number."""
+        out: dict[int, int] = {}
+        if text and self.size:
+            starts, first = self.starts, HEADS[0]
+            for w, n in Counter(WORD.findall(text.lower())).items():
+                if w[:first] in starts:
+                    if (t := self.words.get(w)) is not None:
+                        out[t] = out.get(t, 0) + n
+                    for k, d in self.heads.items():
+                        if len(w) > k and (t := d.get(w[:k])) is not None:
+                            out[t] = out.get(t, 0) + n
+        return out
+
+
+def near_copies(examples: list[np.ndarray], bands: int = 6, rows: int = 4, seed: int = 3) -> np.ndarray:
+    """A family number for each example (hashes of its terms): near copies share one, as they share a band of minimal
+    hashes. Copies of a text say no more about its words than the text alone, so terms are counted by family."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
+    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    parent = list(range(len(examples)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[tuple, int] = {}
+    for i, h in enumerate(examples):
+        if len(h):
+            least = ((h[:, None] * a + b) >> np.uint64(16)).min(0).reshape(bands, rows)
+            for band, key in enumerate(map(bytes, least)):
+                j = find(first.setdefault((band, key), i))
+                if j != find(i):
+                    parent[find(i)] = j
+    return np.array([find(i) for i in range(len(examples))], np.int64)
+
+
+def count_families(examples: list[np.ndarray], labels: np.ndarray, families: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(term hashes, their families in class 0 and 1 as two columns, families of class 0, of class 1)."""
+    sizes, found = [], []
+    for y in (0, 1):
+        groups: dict[int, list[np.ndarray]] = {}
+        for i in np.flatnonzero(labels == y).tolist():
+            groups.setdefault(int(families[i]), []).append(examples[i])
+        sizes.append(len(groups))
+        parts = [np.unique(np.concatenate(g)) for g in groups.values()]
+        found.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    terms = np.union1d(found[0][0], found[1][0])
+    counts = np.zeros((len(terms), 2), np.int64)
+    for y in (0, 1):
+        counts[np.searchsorted(terms, found[y][0]), y] = found[y][1]
+    return terms, counts, sizes[0], sizes[1]
+
+
+def likelihood_ratio(counts: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """The likelihood ratio of terms that mark label 1, from their families in both classes; 0 for others."""
+    total, seen = n0 + n1, counts.sum(1)
+    g2 = np.zeros(len(counts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for y, n in ((0, n0), (1, n1)):
+            for o, e in ((counts[:, y], seen * n / total), (n - counts[:, y], (total - seen) * n / total)):
+                g2 += np.where(o > 0, 2 * o * np.log(o / e), 0.0)
+    return np.where((counts[:, 1] >= 2) & (counts[:, 1] * n0 > counts[:, 0] * n1), g2, 0.0)
+
+
+def choose_terms(found: list[tuple[float, str, int, int]], most: int) -> list[str]:
+    """Of terms (likelihood ratio, term, families of class 0, of class 1) the strongest, largest ratio first.
+
+    A term is left out if a chosen beginning of it marks the label as surely: of a family of words its common start
+    stays, with the forms that say more than it.
+    """
+    chosen: dict[str, float] = {}
+    for _, term, a0, a1 in sorted(found, key=lambda x: (-x[0], x[1])):
+        sure, word = a1 / (a0 + a1), term.rstrip("*")
+        if all(chosen.get(word[:k] + "*", -1.0) < sure - 0.02 for k in HEADS if k < len(word)):
+            chosen[term] = sure
+            if len(chosen) == most:
+                break
+    return list(chosen)
 
 
 class BlockMaxIndex:
@@ -89,34 +154,55 @@ class BlockMaxIndex:
             self.starts[t] = at + np.searchsorted(own, np.arange(self.blocks + 1))
             at += len(p)
 
+    def _scores(self, terms: list[int], weights: list[float], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, scores) of the examples in some blocks that share a term."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        total = np.zeros(self.blocks * BLOCK)
+        for t, w in zip(terms, weights, strict=True):
+            s, e = self.starts[t, 0], self.starts[t, -1]
+            if len(blocks) == 1:
+                s, e = self.starts[t, blocks[0]], self.starts[t, blocks[0] + 1]
+                total[self.ids[s:e]] += w * self.weights[s:e]
+            else:
+                ids = self.ids[s:e]
+                in_ = wanted[ids // BLOCK]
+                total[ids[in_]] += w * self.weights[s:e][in_]
+        hit = np.flatnonzero(total > 0)
+        return hit, total[hit]
+
     def top(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive similarity, ties by position: (similarity, position)."""
+        """The k examples of largest positive similarity, ties by position: (similarity, position).
+
+        Blocks are opened by falling bound until they hold k candidates; then, at once, all whose bound reaches the
+        k-th of these: no other block can hold a better one.
+        """
         if not query or not self.n:
             return []
         terms = list(query)
         weights = [query[t] for t in terms]
         bound = np.asarray(weights) @ self.bounds[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] + 1e-9 < -best[-1][0]):
-                break
-            first, scores = b * BLOCK, np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                if e > s:
-                    scores[self.ids[s:e] - first] += w * self.weights[s:e]
-            hit = np.flatnonzero(scores > 0)
-            best += [(-round(float(scores[i]), _PLACES), first + int(i)) for i in hit if first + int(i) != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, scores, at = np.empty(0, np.int64), np.empty(0), 0
+        while at < len(order) and len(found) < k + 1:
+            i, x = self._scores(terms, weights, order[at : at + 1])
+            found, scores, at = np.r_[found, i[i != without]], np.r_[scores, x[i != without]], at + 1
+        if at < len(order):
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+            rest = order[at:][bound[order[at:]] >= least - 1e-9]
+            if len(rest):
+                i, x = self._scores(terms, weights, rest)
+                found, scores = np.r_[found, i[i != without]], np.r_[scores, x[i != without]]
+        best = np.lexsort((found, -np.round(scores, _PLACES)))[:k]
+        return [(round(float(scores[j]), _PLACES), int(found[j])) for j in best]
 
 
 class ToxicityModel:
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]], k: int):
         """``examples``: (doc_id, label, weight, counts of terms)."""
         self.k = k
-        self.terms = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.heads = {n: {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*") and len(t) == n + 1} for n in HEADS}
+        self.vocabulary = Vocabulary(terms)
         self.idf = idf
         vectors = [self.vector(c) for *_, c in examples]
         with_terms = [i for i, v in enumerate(vectors) if v]
@@ -149,7 +235,7 @@ class ToxicityModel:
         return float((own * self.labels[[i for _, i in near]]).sum() / own.sum())
 
     def judge(self, text: str | None) -> tuple[float, list]:
-        counts = known_features(text, self.terms, self.heads)
+        counts = self.vocabulary.count(text)
         if not counts:
             return self.lone, []
         key = tuple(sorted(counts.items()))
@@ -164,19 +250,44 @@ class ToxicityModel:
         return hit
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term)
+
+
+def _sample_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [features(t) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "label", "weight", "terms", "counts"])
+        found = [np.sort(np.fromiter(map(_hash, features(t)), np.uint64)).tobytes() for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], ["doc_id", "label", "weight", "hashes"])
+
+
+def _sample_terms(wanted: np.ndarray):
+    """The names of some term hashes."""
+    known = set(wanted.tolist())
+
+    def run(batches):
+        names = sorted({t for b in batches for text in b.column(0).to_pylist() for t in features(text) if _hash(t) in known})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["term"])
+
+    return run
+
+
+def _sample_counts(vocabulary: Vocabulary):
+    def run(batches):
+        for b in batches:
+            found = [vocabulary.count(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "terms", "counts"])
+
+    return run
 
 
-def _document_counts(terms: dict[str, int], heads: dict[int, dict[str, int]], n: int):
+def _document_counts(vocabulary: Vocabulary):
     def run(batches):
+        n = vocabulary.size
         seen, docs = np.zeros(n, np.int64), 0
         for b in batches:
             docs += b.num_rows
             for t in b.column(0).to_pylist():
-                for i in known_features(t, terms, heads):
+                for i in vocabulary.count(t):
                     seen[i] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n), pa.int64()), pa.array(np.r_[docs, seen], pa.int64())], ["term", "docs"])
 
@@ -190,24 +301,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     Without labelled rows every score is 0.
     """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col).select("doc_id", "label", "weight", "text")
-    sample = sample.mapInArrow(_sample_features, "doc_id long, label int, weight double, terms array<string>, counts array<long>")
-    rows = sorted(sample.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["counts"]))  # at most 2 * per_class rows
-    seen: dict[str, list[int]] = {}
-    for r in rows:
-        for t in r["terms"]:
-            seen.setdefault(t, [0, 0])[r["label"]] += 1
-    n1 = sum(r["label"] for r in rows)
-    terms = choose_terms({t: (a, b) for t, (a, b) in seen.items()}, len(rows) - n1, n1, most_terms, least_g2) if 0 < n1 < len(rows) else []
-    at = {t: i for i, t in enumerate(terms)}
-    words = {t: i for t, i in at.items() if not t.endswith("*")}
-    heads = {n: {t[:-1]: i for t, i in at.items() if t.endswith("*") and len(t) == n + 1} for n in HEADS}
-    texts = docs.select(F.col(text_col).cast("string"))
-    counted = texts.mapInArrow(_document_counts(words, heads, len(terms)), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    # at most 2 * per_class rows, read three times; the driver holds 8 bytes a term of them
+    sample = saved(labelled_sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col).select("doc_id", "label", "weight", "text"), "labelled")
+    hashed = sample.mapInArrow(_sample_hashes, "doc_id long, label int, weight double, hashes binary")
+    # equal texts are one example, with the weight of all
+    texts: dict[tuple, list] = {}
+    for r in sorted(hashed.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"])):
+        texts.setdefault((r["label"], bytes(r["hashes"])), [r["doc_id"], 0.0])[1] += r["weight"]
+    rows = {i: (y, w, np.frombuffer(h, np.uint64)) for (y, h), (i, w) in texts.items()}
+    del texts
+    sets, marks = [h for *_, h in rows.values()], np.array([y for y, *_ in rows.values()])
+    hashes, counts, n0, n1 = count_families(sets, marks, near_copies(sets))
+    ratio = likelihood_ratio(counts, n0, n1) if n0 and n1 else np.zeros(len(hashes))
+    # as very many terms are tried, the least ratio rises with their number: a chance of 1 in 20 that any passes
+    strong = np.flatnonzero(ratio >= max(least_g2, 2 * np.log(20 * max(1, len(hashes)))))
+    strong = strong[np.argsort(-ratio[strong], kind="stable")][: 40 * most_terms]
+    facts = {int(hashes[i]): (float(ratio[i]), int(counts[i, 0]), int(counts[i, 1])) for i in strong}
+    del sets, hashes, counts, ratio
+    names = {r["term"] for r in sample.select("text").mapInArrow(_sample_terms(np.array(list(facts), np.uint64)), "term string").distinct().toLocalIterator()} if facts else set()
+    terms = choose_terms([(facts[_hash(t)][0], t, *facts[_hash(t)][1:]) for t in names], most_terms)
+    all_ = docs.select(F.col(text_col).cast("string"))
+    counted = all_.mapInArrow(_document_counts(Vocabulary(terms)), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
     df = {r["term"]: r["docs"] for r in counted.collect()}  # at most most_terms + 1 rows
     n = df.get(-1, 0)
     idf = np.array([np.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    examples = [(r["doc_id"], r["label"], r["weight"], {at[t]: c for t, c in zip(r["terms"], r["counts"], strict=True) if t in at}) for r in rows]
+    found = {r["doc_id"]: dict(zip(r["terms"], r["counts"], strict=True)) for r in sample.select("doc_id", "text").mapInArrow(_sample_counts(Vocabulary(terms)), "doc_id long, terms array<long>, counts array<long>").toLocalIterator()}
+    examples = [(i, y, w, found[i]) for i, (y, w, _) in sorted(rows.items())]
     return ToxicityModel(terms, idf, examples, k)
 
 
