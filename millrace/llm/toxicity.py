@@ -64,9 +64,10 @@ class Vocabulary:
         return out
 
 
-def near_copies(examples: list[np.ndarray], bands: int = 6, rows: int = 4, seed: int = 3) -> np.ndarray:
-    """A family number for each example (hashes of its terms): near copies share one, as they share a band of minimal
-    hashes. Copies of a text say no more about its words than the text alone, so terms are counted by family."""
+def near_copies(examples: list[np.ndarray], bands: int = 8, rows: int = 8, least: float = 0.6, seed: int = 3) -> np.ndarray:
+    """A family number for each example (hashes of its terms): near copies share one. They meet in a band of minimal
+    hashes and agree in at least ``least`` of all. Copies of a text say no more about its words than the text alone,
+    so terms are counted by family."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -78,14 +79,15 @@ def near_copies(examples: list[np.ndarray], bands: int = 6, rows: int = 4, seed:
             i = parent[i]
         return i
 
+    marks = np.zeros((len(examples), bands * rows), np.uint64)
     first: dict[tuple, int] = {}
     for i, h in enumerate(examples):
         if len(h):
-            least = ((h[:, None] * a + b) >> np.uint64(16)).min(0).reshape(bands, rows)
-            for band, key in enumerate(map(bytes, least)):
-                j = find(first.setdefault((band, key), i))
-                if j != find(i):
-                    parent[find(i)] = j
+            marks[i] = ((h[:, None] * a + b) >> np.uint64(16)).min(0)
+            for band, key in enumerate(map(bytes, marks[i].reshape(bands, rows))):
+                j = first.setdefault((band, key), i)
+                if j != i and (marks[i] == marks[j]).mean() >= least and find(i) != find(j):
+                    parent[find(i)] = find(j)
     return np.array([find(i) for i in range(len(examples))], np.int64)
 
 
