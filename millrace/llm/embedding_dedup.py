@@ -233,7 +233,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
     long (smallest id reachable by links), kept boolean (vec_id = component_id).
 
     The index is fitted on at most ``sample`` distinct vectors, chosen by a hash; every vector is indexed and asks.
-    ``lists``: coarse centroids (default 2 sqrt(n), at most 1024). ``slack``: lists are asked up to this share of the
+    ``lists``: coarse centroids (default 2 sqrt(n), at most an eighth of the sample: raise the sample with the table). ``slack``: lists are asked up to this share of the
     search radius behind the bisecting plane. 1 finds every link; 0.5 finds all but those whose difference lies mostly
     across one plane, which for directions spread over d dimensions is sqrt(d) / 2 deviations out; recall is tested.
     ``block``: members, and askers by eight, of one unit of work.
@@ -255,7 +255,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
     reps = saved(keyed.where(fit).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("unit", "vec_id").alias("unit")), "vectors")
     n, dims = reps.count(), sizes["bytes"] // 8
     chosen = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit")  # at most ``sample`` rows
-    index = ProductIndex(matrix([bytes(r[0]) for r in chosen.toLocalIterator()], dims), lists or max(1, min(1024, int(2 * math.sqrt(n)))), subspaces, cosine, slack, seed)
+    index = ProductIndex(matrix([bytes(r[0]) for r in chosen.toLocalIterator()], dims), lists or max(1, min(sample // 8, int(2 * math.sqrt(n)))), subspaces, cosine, slack, seed)
 
     def count_lists(batches):
         members, askers = (np.zeros(len(index.centroids), np.int64) for _ in range(2))
@@ -267,7 +267,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(members))), pa.array(members), pa.array(askers)], ["list", "members", "askers"])
 
     counted = reps.select("unit").mapInArrow(count_lists, "list long, members long, askers long").groupBy("list").agg(F.sum("members").alias("m"), F.sum("askers").alias("q"))
-    blocks = {r["list"]: (-(-r["m"] // block), max(1, -(-r["q"] // (8 * block)))) for r in counted.collect() if r["m"]}  # at most 1024 rows
+    blocks = {r["list"]: (-(-r["m"] // block), max(1, -(-r["q"] // (8 * block)))) for r in counted.collect() if r["m"]}  # as many rows as lists
     dealt = reps.select("rep", "copies", "unit").mapInArrow(_deal(index, blocks), UNITS)
     dealt = dealt.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "kind")
     found = saved(dealt.mapInArrow(_search(index), "a long, b long, links long"), "links")
