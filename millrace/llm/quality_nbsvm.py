@@ -14,6 +14,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import small_batches
@@ -32,8 +33,13 @@ def shapes(text: bytes) -> list[bytes]:
     return [s + b"=" if same else s for s, same in zip(kept, [False, *map(eq, words[1:], words[:-1])], strict=True)]
 
 
-def ngrams(text: str | None) -> set[bytes]:
-    """The indicators of a text."""
+def ngrams(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's indicators."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, indicators(text)), np.uint64))
+
+
+def indicators(text: str | None) -> set[bytes]:
+    """The indicators of a text, by name."""
     raw = text.encode() if text else b""
     s = shapes(raw)
     out = {b"n%d" % min(12, len(s).bit_length())}
@@ -90,37 +96,39 @@ def fit_sigmoid(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, round
 
 
 class QualityModel:
-    """Weights by n-gram, and the map from margin to probability."""
+    """Weights by n-gram hash (sorted), and the map from margin to probability."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float, slope: float, offset: float):
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+    def __init__(self, grams: np.ndarray, weights: np.ndarray, bias: float, slope: float, offset: float):
+        self.grams, self.weights, self.bias, self.slope, self.offset = grams, weights, bias, slope, offset
 
-    def margin(self, grams: set[bytes]) -> float:
-        get = self.weights.get
-        found = [x for x in map(get, grams) if x is not None]
-        return self.bias + sum(sorted(found)) / max(1, len(found)) ** 0.5
+    def margin(self, grams: np.ndarray) -> float:
+        at = np.searchsorted(self.grams, grams)
+        at = at[at < len(self.grams)] if len(self.grams) == 0 else np.minimum(at, len(self.grams) - 1)
+        found = at[self.grams[at] == grams] if len(at) else at
+        return self.bias + float(self.weights[found].sum()) / max(1, len(found)) ** 0.5
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(ngrams(text)) + self.offset, -30, 30))))
 
 
-def train(samples: list[tuple[set[bytes], int, float]], *, least_df: int = 3, most_grams: int = 1 << 17, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 20, seed: int = 7) -> QualityModel:
-    """Fits the model to (n-grams, label, weight) samples. A fifth of them, kept from the fit, calibrates the scores."""
-    label = np.array([y for _, y, _ in samples])
-    weight = np.array([w for *_, w in samples], np.float64)
-    if not len(samples) or label.min() == label.max():
-        prior = float(np.average(label, weights=weight)) if len(samples) else 0.5
-        return QualityModel({}, 0.0, 0.05, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
+def train(grams: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, least_df: int = 3, most_grams: int = 1 << 17, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 20, seed: int = 7) -> QualityModel:
+    """Fits the model to the n-grams (sorted hashes) of labelled rows. A fifth of them, kept from the fit, calibrates
+    the scores. ``weight``: how many labelled rows a row stands for."""
+    none = np.empty(0, np.uint64), np.empty(0)
+    if not len(grams) or label.min() == label.max():
+        prior = float(np.average(label, weights=weight)) if len(grams) else 0.5
+        return QualityModel(*none, 0.0, 0.05, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
     rng = np.random.default_rng(seed)
-    test = rng.permutation(len(samples)) % 5 == 0
+    test = rng.permutation(len(grams)) % 5 == 0
     if len(set(label[~test])) < 2 or len(set(label[test])) < 2:
-        test = np.zeros(len(samples), bool)
+        test = np.zeros(len(grams), bool)
     fit = np.flatnonzero(~test)
-    df = Counter(g for i in fit for g in samples[i][0])
-    vocabulary = [g for g, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:most_grams] if n >= least_df]
-    at = {g: j for j, g in enumerate(vocabulary)}
-    rows = [np.array(sorted(at[g] for g in samples[i][0] if g in at), np.int64) for i in fit]
-    counts = np.full((2, len(vocabulary)), smoothing)
+    known, df = np.unique(np.concatenate([grams[i] for i in fit]), return_counts=True)
+    often = np.flatnonzero(df >= least_df)
+    often = np.sort(often[np.argsort(-df[often], kind="stable")][:most_grams])
+    known = known[often]
+    rows = [np.searchsorted(known, g[np.isin(g, known, assume_unique=True)]) for g in (grams[i] for i in fit)]
+    counts = np.full((2, len(known)), smoothing)
     for i, r in zip(fit, rows, strict=True):
         counts[label[i], r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
@@ -129,17 +137,17 @@ def train(samples: list[tuple[set[bytes], int, float]], *, least_df: int = 3, mo
     parts = [np.r_[ratio[r] / max(1, len(r)) ** 0.5, 1.0] for r in rows]
     n = np.bincount(label[fit], minlength=2)
     w = fit_hinge(index, parts, np.where(label[fit] > 0, 1.0, -1.0), cost * len(fit) / (2 * n[label[fit]]), len(ratio) + 1, epochs, seed)
-    model = QualityModel({g: float(w[j] * ratio[j]) for g, j in at.items()}, float(w[-1]), 1.0, 0.0)
+    model = QualityModel(known, w[:-1] * ratio, float(w[-1]), 1.0, 0.0)
     use = np.flatnonzero(test) if test.any() else fit
-    margin = np.array([model.margin(samples[i][0]) for i in use])
+    margin = np.array([model.margin(grams[i]) for i in use])
     model.slope, model.offset = fit_sigmoid(margin, label[use], weight[use] / weight[use].mean())
     return model
 
 
 def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        grams = [sorted(ngrams(t)) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(grams, pa.list_(pa.binary()))], ["doc_id", "label", "weight", "grams"])
+        grams = [ngrams(t).tobytes() for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(grams, pa.binary())], ["doc_id", "label", "weight", "grams"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", **options) -> QualityModel:
@@ -147,12 +155,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", p
 
     Without labelled rows every score is 0.5, with labels of one class only about their share.
     """
-    small_batches(docs.sparkSession, 200)
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col).select("doc_id", "label", "weight", "text")
-    sample = sample.mapInArrow(_sample_grams, "doc_id long, label int, weight double, grams array<binary>")
-    rows = [(r["doc_id"], r["label"], r["weight"], {bytes(g) for g in r["grams"]}) for r in sample.toLocalIterator()]  # at most 2 * per_class rows
-    rows.sort(key=lambda r: (r[0], r[1], len(r[3])))
-    return train([(g, y, w) for _, y, w, g in rows], **options)
+    sample = sample.mapInArrow(_sample_grams, "doc_id long, label int, weight double, grams binary")
+    # at most 2 * per_class rows, 8 bytes an n-gram
+    rows = sorted((r["doc_id"], r["label"], bytes(r["grams"]), r["weight"]) for r in sample.toLocalIterator())
+    label_, weight = np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.float64)
+    return train([np.frombuffer(r[2], np.uint64) for r in rows], label_, weight, **options)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
