@@ -19,6 +19,10 @@ from millrace.llm.toxicity import fit_toxicity, score_toxicity
 ORACLE_SQL = None
 
 
+#: So many ids are broadcast at most: 8 MB.
+FEW_IDS = 1_000_000
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -50,7 +54,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = saved(ngram_jaccard_join(docs, width=5, percent=80).where("doc_id IS NOT NULL"), "groups")
     release(spark)
     kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    gone = saved(found.select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "gone")
+    # ids of 8 bytes: while they are few, which is counted, they go to the texts, else both are dealt by id
+    few = gone.count() <= FEW_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").where("doc_id IS NOT NULL")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         once = F.xxhash64("text")
         out = out.withColumn("__text", once).dropDuplicates(["doc_id", "__text"]).drop("__text")
