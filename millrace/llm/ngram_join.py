@@ -9,15 +9,17 @@ L = 1 has only rare tokens needs no more than these. So every pair of similar se
 
 Steps, each on all rows:
 
-1. Every text becomes a sorted array of 64-bit shingle hashes and a 96-bit id of the set. Equal sets become one.
-2. Tokens go, packed as byte planes, to partitions by value; those found in two or more sets go back to their set
-   with the frequency. A token of one set only can't be shared: it only fills the prefix.
-3. Sets with enough shared tokens for any link are written out, with these tokens (enough for exact overlaps) and a
+1. Every text becomes a sorted array of 64-bit shingle hashes and a 128-bit id of the set. A flush is some thousand
+   texts of one task; its equal sets are one.
+2. Tokens go, packed as byte planes, to partitions by value; those found in two or more places go back to their flush
+   with the frequency. A token of one place only can't be shared: it only fills the prefix.
+3. Equal sets become one, and sets with enough shared tokens for any link are written out, with these tokens (enough for exact overlaps) and a
    1024-bit parity map of them, which bounds the difference of two sets from below.
 4. In the list of a signature, members are compared with a hub of the list; each member takes its nearest hub, and an
-   exact overlap decides. Lists with members in several components go on with other hubs, while that finds links.
-   Then all pairs of different components in such a list are tested, by parity maps inside the join, then exactly.
-   So the components are exact, while a list that is one group of near copies costs its length, not its square.
+   exact overlap decides. Lists of a few signatures of each set link most near copies so. Then all signatures are
+   listed by component, and components that meet in a list are compared member by member, by parity maps inside the
+   join, then exactly. So the components are exact, while a list that is one group of near copies costs its length,
+   not its square.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, saved, small_batches
+from .common import components, partitions, release, saved, small_batches
 
 MAP_BITS = 1024
+SEEDS = 6
+FEW_PAIRS = 500_000
+#: Ranges of token values for each shuffle partition; one range is in memory at a time.
+FINER = 4
 NO_ID = -(1 << 63)
 FLUSH_TOKENS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,6 +99,13 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def home(flush, parts: int):
+    """The partition that gathers the sets of a flush (a number or an array of them), by a mixing hash."""
+    x = np.asarray(flush, np.int64).view(np.uint64) * _M1
+    at = part_of((x ^ (x >> np.uint64(29))) * _M2, parts)
+    return at if at.ndim else int(at)
+
+
 def cut(parts_sorted: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(partition, start, end) of the runs."""
     edges = np.flatnonzero(np.diff(parts_sorted)) + 1
@@ -122,50 +136,43 @@ def chunks(rows: Iterator[tuple[int, int, bytes]], limit: int = 8 << 20) -> Iter
 
 
 def make_sets(width: int, parts: int):
-    """Texts to packed rows: tokens by value, and a record (doc_id, n, set id) of each document by its set id."""
+    """Texts to packed rows: tokens by value, each with the place of its set in its flush; and, by the number of the
+    flush, the records (flush, place, doc_id, n, set id) of the documents. Equal sets of a flush share a place."""
 
-    def flush(ids: list, arrays: list) -> Iterator[tuple[int, int, bytes]]:
-        local: dict[bytes, int] = {}
+    def flush(number: int, ids: list, arrays: list) -> Iterator[tuple[int, int, bytes]]:
+        places: dict[bytes, int] = {}
         uniq: list[np.ndarray] = []
-        sid = []
+        keys = []
         for a in arrays:
-            key = xxhash.xxh3_128_digest(a.tobytes())[:12]
-            sid.append(key)
-            if key not in local:
-                local[key] = len(uniq)
+            key = xxhash.xxh3_128_digest(a.tobytes())
+            keys.append(key)
+            if key not in places:
+                places[key] = len(uniq)
                 uniq.append(a)
-        raw = np.frombuffer(b"".join(sid), np.uint8).reshape(-1, 12)
-        hi, lo = (np.ascontiguousarray(raw[:, s]).view(k).ravel() for s, k in ((slice(0, 8), np.uint64), (slice(8, 12), np.uint32)))
+        place = np.array([places[k] for k in keys], np.uint16)
+        ids_of_sets = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         n = np.array([len(a) for a in arrays], np.int64)
-        o = np.lexsort((lo, hi))
-        docs = np.array(ids, np.int64)[o]
-        for p, a, b in cut(part_of(hi[o], parts)):
-            yield p, DOCS, pack(docs[a:b], n[o][a:b], hi[o][a:b], lo[o][a:b])
-        keys = np.frombuffer(b"".join(local), np.uint8).reshape(-1, 12)
-        uhi, ulo = np.ascontiguousarray(keys[:, :8]).view(np.uint64).ravel(), np.ascontiguousarray(keys[:, 8:]).view(np.uint32).ravel()
+        yield home(number, parts), DOCS, pack(np.full(len(ids), number, np.int64), place, np.array(ids, np.int64), n, ids_of_sets[:, 0], ids_of_sets[:, 1])
         tok = np.concatenate(uniq)
-        who = np.repeat(np.arange(len(uniq), dtype=np.uint32), [len(a) for a in uniq])
+        who = np.repeat(np.arange(len(uniq), dtype=np.uint16), [len(a) for a in uniq])
         o = np.argsort(tok, kind="stable")
         tok, who = tok[o], who[o]
-        for p, a, b in cut(part_of(tok, parts)):
-            used, index = np.unique(who[a:b], return_inverse=True)
-            index = index.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-            head = b"\x02" if index.dtype == np.uint16 else b"\x04"
-            yield p, TOKENS, head + pack(uhi[used], ulo[used]) + pack(tok[a:b], index)
+        for p, a, b in cut(part_of(tok, parts * FINER)):
+            yield p, TOKENS, number.to_bytes(8, "little") + pack(tok[a:b], who[a:b])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        ids, arrays, held = [], [], 0
+        number, ids, arrays, held = TaskContext.get().partitionId() << 24, [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 a = shingle_set(t.as_py(), width)
                 ids.append(NO_ID if i is None else i)
                 arrays.append(a)
-                held += len(a) + 8
-                if held >= FLUSH_TOKENS:
-                    yield from flush(ids, arrays)
-                    ids, arrays, held = [], [], 0
+                held += len(a)
+                if held >= FLUSH_TOKENS or len(ids) == 1 << 16:
+                    yield from flush(number, ids, arrays)
+                    number, ids, arrays, held = number + 1, [], [], 0
         if ids:
-            yield from flush(ids, arrays)
+            yield from flush(number, ids, arrays)
 
     return lambda batches: chunks(rows(batches))
 
@@ -185,95 +192,77 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int,
 
 
 def return_shared(parts: int):
-    """Of the tokens of a partition, those of two or more sets go back to their sets with the frequency."""
+    """Of the tokens of a partition, those in two or more places go back to their flush with the number of places."""
 
     def rows(batches):
         for part, held in by_part(batches):
-            for blob in held.get(DOCS, []):
+            for blob in held.pop(DOCS, []):
                 yield part, DOCS, blob
             if not held.get(TOKENS):
                 continue
-            toks, his, los = [], [], []
+            toks, whos, flushes = [], [], []
             for blob in held.pop(TOKENS):
-                (hi, lo), at = unpack(blob, "u8 u4", 1)
-                (tok, index), _ = unpack(blob, f"u8 u{blob[0]}", at)
-                toks.append(tok), his.append(hi[index]), los.append(lo[index])
-            tok, hi, lo = (np.concatenate(x) for x in (toks, his, los))
+                (tok, who), _ = unpack(blob, "u8 u2", 8)
+                toks.append(tok), whos.append(who), flushes.append(np.full(len(tok), int.from_bytes(blob[:8], "little"), np.int64))
+            tok, who, number = (np.concatenate(x) for x in (toks, whos, flushes))
+            del toks, whos, flushes
             o = np.argsort(tok, kind="stable")
             tok = tok[o]
-            same = np.flatnonzero(tok[1:] == tok[:-1])
-            keep = np.zeros(len(tok), bool)
-            keep[same], keep[same + 1] = True, True
-            tok, o = tok[keep], o[keep]
-            hi, lo = hi[o], lo[o]
-            o = np.lexsort((lo, hi, tok))
-            tok, hi, lo = tok[o], hi[o], lo[o]
-            if len(tok):  # copies that came by different tasks
-                new = np.r_[True, (tok[1:] != tok[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]
-                tok, hi, lo = tok[new], hi[new], lo[new]
-                _, at, df = np.unique(tok, return_inverse=True, return_counts=True)
-                df = df[at]
-                many = df >= 2
-                tok, hi, lo, df = tok[many], hi[many], lo[many], df[many].astype(np.uint32)
-            o = np.lexsort((lo, hi))
-            tok, hi, lo, df = tok[o], hi[o], lo[o], df[o].astype(np.uint32) if len(tok) else np.empty(0, np.uint32)
-            for p, a, b in cut(part_of(hi, parts)):
-                yield p, SHARED, pack(hi[a:b], lo[a:b], tok[a:b], df[a:b])
+            starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+            df = np.repeat(np.diff(np.r_[starts, len(tok)]), np.diff(np.r_[starts, len(tok)]))
+            many = df >= 2
+            tok, o, df = tok[many], o[many], df[many].astype(np.uint32)
+            who, number = who[o], number[o]
+            to = home(number, parts)
+            o = np.lexsort((who, number, to))
+            tok, who, number, df, to = tok[o], who[o], number[o], df[o], to[o]
+            for p, a, b in cut(to):
+                yield p, SHARED, pack(number[a:b], who[a:b], tok[a:b], df[a:b])
 
     return lambda batches: chunks(rows(batches))
 
 
-SETS = "kind int, doc_id long, n long, rep long, rare int, shared array<long>, parity array<long>"
+SETS = "kind int, doc_id long, n long, h1 long, h2 long, rare int, shared array<long>, parity array<long>"
 
 
 def gather_sets(percent: int, rare_df: int):
-    """Documents (kind 0) with their set's smallest doc_id, and (kind 1) the sets with shared tokens enough for a link:
-    these tokens by frequency, how many of them are rare, and their parity map."""
+    """Documents (kind 0) with the id of their set; and (kind 1) the sets of a flush with shared tokens enough for a
+    link: their smallest doc_id, these tokens by frequency, how many of them are rare, and their parity map."""
 
-    def emit(kind, doc_id, n, rep, rare, shared, parity):
+    def emit(kind, doc_id, n, h1, h2, rare, shared, parity):
         size = len(n)
         fill = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
-        cols = [pa.array(np.full(size, kind), pa.int32()), fill(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(rep, pa.int64()), fill(rare, pa.int32()), fill(shared, pa.list_(pa.int64())), fill(parity, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "rep", "rare", "shared", "parity"])
+        cols = [pa.array(np.full(size, kind), pa.int32()), fill(doc_id, pa.int64()), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), fill(rare, pa.int32()), fill(shared, pa.list_(pa.int64())), fill(parity, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SETS.split(", ")])
 
     def run(batches):
         for _, held in by_part(batches):
-            docs = [unpack(b, "i8 i8 u8 u4")[0] for b in held.get(DOCS, [])]
-            if not docs:
-                continue
-            doc, n, hi, lo = (np.concatenate(x) for x in zip(*docs, strict=True))
-            o = np.lexsort((doc, lo, hi))
-            doc, n, hi, lo = doc[o], n[o], hi[o], lo[o]
-            new = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]
-            group = np.cumsum(new) - 1
-            known = doc != NO_ID
-            low = np.full(group[-1] + 1, NO_ID)  # the smallest id that isn't null
-            low[group[known][::-1]] = doc[known][::-1]
-            rep = np.where(n == 0, doc, low[group])  # empty sets stay alone
-            for a in range(0, len(doc), 100_000):
-                s = slice(a, a + 100_000)
-                yield emit(0, np.ma.array(doc[s], mask=~known[s]).tolist(), n[s], rep[s], None, None, None)
-            shared = [unpack(b, "u8 u4 u8 u4")[0] for b in held.get(SHARED, [])]
+            first: dict[tuple[int, int], tuple] = {}  # place of a set: n, smallest id, set id
+            for blob in held.pop(DOCS, []):
+                (number, place, doc, n, h1, h2), _ = unpack(blob, "i8 u2 i8 i8 i8 i8")
+                yield emit(0, pa.array(doc, mask=doc == NO_ID), n, h1, h2, None, None, None)
+                for f, w, d, *rest in zip(*(x.tolist() for x in (number, place, doc, n, h1, h2)), strict=True):
+                    if d != NO_ID and ((f, w) not in first or d < first[f, w][0]):
+                        first[f, w] = d, *rest
+            shared = [unpack(b, "i8 u2 u8 u4")[0] for b in held.pop(SHARED, [])]
             if not shared:
                 continue
-            shi, slo, tok, df = (np.concatenate(x) for x in zip(*shared, strict=True))
-            o = np.lexsort((tok, df, slo, shi))
-            shi, slo, tok, df = shi[o], slo[o], tok[o].view(np.int64), df[o]
-            starts = np.flatnonzero(np.r_[True, (shi[1:] != shi[:-1]) | (slo[1:] != slo[:-1])])
-            ends = np.r_[starts[1:], len(shi)]
-            size = {(h, w): (a, b) for h, w, a, b in zip(hi[new].tolist(), lo[new].tolist(), n[new].tolist(), low.tolist(), strict=True)}
+            number, place, tok, df = (np.concatenate(x) for x in zip(*shared, strict=True))
+            o = np.lexsort((tok, df, place, number))
+            number, place, tok, df = number[o], place[o], tok[o], df[o]
+            starts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (place[1:] != place[:-1])])
             out = []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                total, who = size[int(shi[a]), int(slo[a])]
-                if who == NO_ID or 100 * (b - a) < percent * total:
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tok)], strict=True):
+                at = first.get((int(number[a]), int(place[a])))
+                if at is None or 100 * (b - a) < percent * at[1]:
                     continue
-                bits = np.bincount(tok[a:b].view(np.uint64) % np.uint64(MAP_BITS) , minlength=MAP_BITS).astype(np.uint8) & 1
-                out.append((total, who, int((df[a:b] <= rare_df).sum()), tok[a:b], np.packbits(bits).view(np.int64)))
-                if len(out) == 2000:
-                    yield emit(1, None, *zip(*out, strict=True))
+                bits = np.bincount(tok[a:b] % np.uint64(MAP_BITS), minlength=MAP_BITS).astype(np.uint8) & 1
+                out.append((*at, int((df[a:b] <= rare_df).sum()), tok[a:b].view(np.int64), np.packbits(bits).view(np.int64)))
+                if len(out) == 1000:
+                    yield emit(1, *zip(*out, strict=True))
                     out = []
             if out:
-                yield emit(1, None, *zip(*out, strict=True))
+                yield emit(1, *zip(*out, strict=True))
 
     return run
 
@@ -302,28 +291,39 @@ def set_signatures(n: int, rare: int, shared: np.ndarray, percent: int) -> np.nd
             same = lot[k:] == lot[:-k]
             if not same.any():
                 break
-            x = (often[:-k][same] * _M1) ^ (often[k:][same] + _M2 * np.uint64(c))
+            x = (often[:-k][same] * _M1) ^ (often[k:][same] + np.uint64(c * int(_M2) & (1 << 64) - 1))
             out.append((x ^ (x >> np.uint64(31))) * _M2)
     return np.concatenate([shared[: min(rare, longest)], *out])
 
 
-def signatures(percent: int):
-    """(sig, id) rows of the sets."""
+def signatures(percent: int, seeds: int | None = None, salt: int = 0):
+    """(sig, id, component) rows of the sets: all signatures, or only the ``seeds`` smallest by a salted hash."""
 
     def run(batches):
         for b in batches:
-            for rep, n, rare, shared in zip(*(b.column(k) for k in range(4)), strict=True):
+            for rep, component, n, rare, shared in zip(*(b.column(k) for k in range(5)), strict=True):
                 tok = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                all_ = set_signatures(n.as_py(), rare.as_py(), tok, percent).view(np.int64)
+                all_ = set_signatures(n.as_py(), rare.as_py(), tok, percent)
+                if seeds is not None and len(all_) > seeds:
+                    key = (all_ ^ np.uint64(salt * 0x5851F42D4C957F2D & (1 << 64) - 1)) * _M1
+                    all_ = all_[np.argpartition(key ^ (key >> np.uint64(31)), seeds)[:seeds]]
                 for a in range(0, len(all_), 200_000):
-                    s = all_[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), rep.as_py()), pa.int64())], ["sig", "id"])
+                    s = all_[a : a + 200_000].view(np.int64)
+                    ids = (pa.array(np.full(len(s), x.as_py()), pa.int64()) for x in (rep, component))
+                    yield pa.RecordBatch.from_arrays([pa.array(s), *ids], ["sig", "id", "component"])
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with ``linked`` boolean, by exact overlaps."""
+    """Pairs (a, b) with ``linked`` boolean, by exact overlaps.
+
+    Where the pairs are few, which is counted, their ids go to the sets, so that only the sets they name are moved.
+    """
+    pairs = saved(pairs, "pairs")
+    if pairs.count() <= FEW_PAIRS:
+        named = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        sets = sets.join(F.broadcast(named), "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
@@ -343,7 +343,7 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return size & ((100 + percent) * least_difference(x, y) <= (100 - percent) * both)
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, rare_df: int = 32, max_rounds: int = 8) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rare_df: int = 256, seed_rounds: int = 6) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns one row per input row: ``id_col`` long, ``n_shingles`` long (set size), ``copy_of`` long (smallest id with
@@ -354,8 +354,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     is returned with null ids and linked with nothing; rows that repeat an id are all returned, each with the component
     of its own text; an empty table gives an empty result; other columns are neither read nor returned.
 
-    ``rare_df``: up to this frequency tokens are indexed singly. ``max_rounds``: most rounds of hub comparisons before
-    all that is left is compared. Neither changes the result.
+    ``rare_df``: up to this frequency tokens are indexed singly; pairs are about twice as many as single tokens. ``seed_rounds``: most rounds of hub comparisons before all that is left is compared. Neither changes the result.
     """
     if not 51 <= percent <= 99:
         raise ValueError("percent must lie between 51 and 99")
@@ -366,58 +365,90 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     moved = rows.mapInArrow(make_sets(width, parts), PACKED).repartition(parts, "part").sortWithinPartitions("part")
     moved = moved.mapInArrow(return_shared(parts), PACKED).repartition(parts, "part").sortWithinPartitions("part")
     all_sets = saved(moved.mapInArrow(gather_sets(percent, rare_df), SETS), "sets", partition_by="kind")
-    members = all_sets.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    sets = all_sets.where("kind = 1").select("rep", "n", "rare", "shared", "parity")
-
-    comp = components(set_links(sets, percent, max_rounds))
-    out = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    del moved
+    release(spark)
+    members = all_sets.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
+    reps = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    sets = all_sets.where("kind = 1").withColumnRenamed("doc_id", "rep").select("rep", "n", "h1", "h2", "rare", "shared", "parity")
+    sets = saved(sets.join(reps, ["h1", "h2", "rep"], "left_semi").drop("h1", "h2"), "distinct")
+
+    comp = components(set_links(sets, percent, seed_rounds))
+    facts = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
+    out = members.join(facts, ["h1", "h2"], "left")
     known = F.col("doc_id").isNotNull()
-    out = out.select("doc_id", "n_shingles", F.when(known, F.col("rep")).alias("copy_of"), F.when(known, F.coalesce("component", "rep")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(known, F.coalesce("rep", "doc_id")).alias("copy_of"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def set_links(sets: DataFrame, percent: int, max_rounds: int) -> DataFrame:
-    """Edges (a, b) between sets that span every component of the similarity graph."""
-    sigs = sets.select("rep", "n", "rare", "shared").mapInArrow(signatures(percent), "sig long, id long")
-    many = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
-    open_ = saved(sigs.join(many, "sig", "left_semi"), "sigs")
+def offered(rows: DataFrame, facts: DataFrame, tried: DataFrame | None, percent: int, salt: int) -> DataFrame:
+    """For each member of a list with several components its nearest hub that may link and wasn't tried: pairs (a, b).
+
+    The hub of a list is its smallest id in the first round, then a member chosen by a salted hash.
+    """
+    first = F.col("id") if salt == 0 else F.xxhash64("id", F.lit(salt))
+    hubs = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), first).alias("h")).where("lo < hi")
+    hubs = hubs.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
+    offers = rows.join(hubs, "sig").where("hub_component <> component").select("hub", "id").distinct()
+    offers = offers.join(facts, "id").join(facts.select(F.col("id").alias("hub"), F.col("s").alias("hs")), "hub").where(may_link("s", "hs", percent))
+    offers = offers.select("id", "hub", least_difference("s", "hs").alias("d"))
+    if tried is not None:
+        offers = offers.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_anti")
+    return offers.groupBy("id").agg(F.min_by("hub", F.struct("d", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+
+def set_links(sets: DataFrame, percent: int, seed_rounds: int) -> DataFrame:
+    """Edges (a, b) between sets that span every component of the similarity graph.
+
+    Seed rounds, while they find links, join most near copies by a few signatures of each set. Then all signatures are
+    listed by component: two components that meet in a list are compared member by member, by parity maps inside the
+    join. Of what may link, the nearest pair of two components is checked first, the rest only if they stay apart.
+    """
     facts = sets.select(F.col("rep").alias("id"), F.struct("n", (F.col("n") - F.size("shared")).alias("lone"), "parity").alias("s"))
-    links, tried, comp = None, None, None
-    for round_ in range(max_rounds + 1):
-        at = open_
-        if links is not None:
-            comp = components(links)
-            at = at.join(comp, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        else:
-            at = at.withColumn("component", F.col("id"))
-        split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-        at = saved(at.join(split, "sig", "left_semi"), "open")
-        if at.isEmpty():
+    links, tried = sets.sparkSession.createDataFrame([], "a long, b long"), None
+    comp = None
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        if comp is None:
+            return df.withColumn("component", F.col(key))
+        return df.join(comp.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left").withColumn("component", F.coalesce("component", key)).drop("__id")
+
+    def signed(seeds: int | None, salt: int) -> DataFrame:
+        return placed(sets, "rep").select("rep", "component", "n", "rare", "shared").mapInArrow(signatures(percent, seeds, salt), "sig long, id long, component long")
+
+    for round_ in range(seed_rounds):
+        found = saved(verified(offered(signed(SEEDS, round_), facts, tried, percent, round_), sets, percent), "checked")
+        release(sets.sparkSession)
+        tried = found if tried is None else tried.unionByName(found)
+        if found.where("linked").isEmpty():
             break
-        open_, full = at.select("sig", "id"), at.join(facts, "id")
-        if round_ < max_rounds:
-            first = F.col("id") if round_ == 0 else F.xxhash64("id", F.lit(round_))
-            hubs = at.groupBy("sig").agg(F.min_by(F.struct("id", "component"), first).alias("h"))
-            hubs = hubs.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
-            offers = at.join(hubs, "sig").where("hub_component <> component").select("hub", "id").distinct()
-            offers = offers.join(facts, "id").join(facts.select(F.col("id").alias("hub"), F.col("s").alias("hs")), "hub").where(may_link("s", "hs", percent))
-            offers = offers.select("id", "hub", least_difference("s", "hs").alias("d"))
-            if tried is not None:
-                offers = offers.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_anti")
-            pairs = offers.groupBy("id").agg(F.min_by("hub", F.struct("d", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        else:
-            pairs = None
-        found = saved(verified(pairs, sets, percent), "checked") if pairs is not None else None
-        if found is not None:
-            tried = found if tried is None else tried.unionByName(found)
-            good = found.where("linked").select("a", "b")
-            links = good if links is None else links.unionByName(good)
-            if not good.isEmpty():
-                continue
-        # hubs find nothing more: all pairs of different components in a list
-        one = full.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s").alias("x"))
-        two = full.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s").alias("y"))
-        rest = one.join(two, (one["sig"] == two["sig"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("x", "y", percent)).select("a", "b").distinct()
-        good = verified(rest, sets, percent).where("linked").select("a", "b")
-        return saved(good if links is None else links.unionByName(good), "links")
-    return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
+        links = tried.where("linked").select("a", "b")
+        comp = components(links)
+
+    cells = signed(None, 0).select("sig", "component").distinct()
+    # lists of the same components need one signature only: these are compared by two sums of hashes
+    marks = [F.bit_xor(F.xxhash64("component", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    lists = cells.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *marks).where("lo < hi")
+    cells = saved(cells.join(lists.groupBy("lo", "hi", "x0", "x1").agg(F.min("sig").alias("sig")), "sig", "left_semi"), "open")
+    if cells.isEmpty():
+        return links
+    members = saved(placed(facts, "id"), "members")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.min("s").alias("s")).withColumn("alone", F.when(F.col("size") == 1, F.col("s"))).drop("s")
+    cells = cells.join(sizes, "component")
+    one, two = (cells.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("component", "size", "alone"))) for i in (1, 2))
+    # the smaller component first; single sets are ruled out at once
+    order = (F.struct("size1", "component1") < F.struct("size2", "component2")) & (F.col("alone1").isNull() | F.col("alone2").isNull() | may_link("alone1", "alone2", percent))
+    met = one.join(two, (one["sig"] == two["sig"]) & order).select(F.col("component1").alias("c1"), F.col("component2").alias("c2")).distinct()
+    left = members.select(F.col("component").alias("c1"), F.col("id").alias("a"), F.col("s").alias("x"))
+    right = members.select(F.col("component").alias("c2"), F.col("id").alias("b"), F.col("s").alias("y"))
+    near = saved(met, "met").join(left, "c1").join(right, "c2").where(may_link("x", "y", percent))
+    near = near.select("c1", "c2", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least_difference("x", "y").alias("d"))
+    near = saved(near.join(tried, ["a", "b"], "left_anti") if tried is not None else near, "near")
+    release(sets.sparkSession)
+
+    first = near.groupBy("c1", "c2").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+    found = saved(verified(first, sets, percent), "checked")
+    links = links.unionByName(found.where("linked").select("a", "b"))
+    comp = components(links)
+    rest = placed(near.withColumnRenamed("c1", "k1"), "a").withColumnRenamed("component", "now1")
+    rest = placed(rest, "b").where("now1 <> component").select("a", "b").join(found, ["a", "b"], "left_anti")
+    return saved(links.unionByName(verified(rest, sets, percent).where("linked").select("a", "b")), "links")

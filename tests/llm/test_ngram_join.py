@@ -65,7 +65,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "width", "percent", "rare"), [(1, 4, 85, 256), (2, 4, 85, 3), (3, 5, 80, 4), (4, 2, 60, 5)])
 def test_against_brute_force(spark, seed, width, percent, rare):
     texts = corpus(seed)
-    got = nj.ngram_jaccard_join(spark.createDataFrame(rows_of(texts), DOCS).repartition(7), width=width, percent=percent, rare_df=rare, max_rounds=2).collect()
+    got = nj.ngram_jaccard_join(spark.createDataFrame(rows_of(texts), DOCS).repartition(7), width=width, percent=percent, rare_df=rare, seed_rounds=2).collect()
     sets = plain_sets(texts, width)
     want = plain_components(sets, range(len(texts)), percent)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
@@ -76,7 +76,7 @@ def test_against_brute_force(spark, seed, width, percent, rare):
 def test_rounds_do_not_change_the_result(spark, rounds):
     texts = corpus(9)
     df = spark.createDataFrame(rows_of(texts), DOCS)
-    got = nj.ngram_jaccard_join(df, width=4, percent=85, rare_df=2, max_rounds=rounds).collect()
+    got = nj.ngram_jaccard_join(df, width=4, percent=85, rare_df=2, seed_rounds=rounds).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == plain_components(plain_sets(texts, 4), range(len(texts)), 85)
 
 
@@ -140,9 +140,10 @@ def test_components(spark):
         if b is not None and a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: find(i) for i in list(parent)}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    for few in (0, 10**6):
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {i: find(i) for i in list(parent)}
+        assert components(spark.createDataFrame([], "a long, b long"), few=few).collect() == []
 
 
 def test_query(spark):
