@@ -5,6 +5,8 @@ word beginnings of 3 to 5 letters, which catch families of inflected words. Inve
 documents. The labelled examples form an inverted index cut into blocks of consecutive examples; each posting list
 keeps its largest weight per block, so a query visits blocks by falling upper bound and stops, exactly, when no block
 left can beat its k-th neighbour. Votes weighted by similarity are calibrated on the examples, each without itself.
+
+A document without a chosen term is held against all examples over every term of theirs, with a calibration of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .labelled import Isotonic, labelled_sample, scored
 WORD = re.compile(r"[^\W\d_]+")
 HEADS = (3, 4, 5)
 BLOCK = 64
+#: Terms whose document counts travel in one row.
+PART = 8192
 _PLACES = 12
 
 
@@ -119,7 +123,7 @@ def likelihood_ratio(counts: np.ndarray, n0: int, n1: int) -> np.ndarray:
     return np.where((counts[:, 1] >= 2) & (counts[:, 1] * n0 > counts[:, 0] * n1), g2, 0.0)
 
 
-def choose_terms(found: list[tuple[float, str, int, int]], most: int) -> list[str]:
+def choose_terms(found: list[tuple[float, str, int, int]]) -> list[str]:
     """Of terms (likelihood ratio, term, families of class 0, of class 1) the strongest, largest ratio first.
 
     A term is left out if a chosen beginning of it marks the label as surely: of a family of words its common start
@@ -130,8 +134,6 @@ def choose_terms(found: list[tuple[float, str, int, int]], most: int) -> list[st
         sure, word = a1 / (a0 + a1), term.rstrip("*")
         if all(chosen.get(word[:k] + "*", -1.0) < sure - 0.02 for k in HEADS if k < len(word)):
             chosen[term] = sure
-            if len(chosen) == most:
-                break
     return list(chosen)
 
 
@@ -200,9 +202,69 @@ class BlockMaxIndex:
         return [(round(float(scores[j]), _PLACES), int(found[j])) for j in best]
 
 
+class Terms:
+    """All terms of the examples, by sorted hash, for counting them in a text."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.known: dict[str, list[int]] = {}
+
+    def _numbers(self, word: str) -> list[int]:
+        names = [word, *(word[:k] + "*" for k in HEADS if len(word) > k)]
+        keys = np.array([_hash(x) for x in names], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        if len(self.known) >= 100_000:
+            self.known.clear()
+        out = self.known[word] = at[self.hashes[at] == keys].tolist()
+        return out
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the terms of a text, ascending, their counts)."""
+        at, n = [], []
+        if text and len(self.hashes):
+            for w, c in Counter(WORD.findall(text.lower())).items():
+                if (hit := self.known.get(w)) is None:
+                    hit = self._numbers(w)
+                at += hit
+                n += [c] * len(hit)
+        numbers, own = np.unique(np.array(at, np.int32), return_inverse=True)
+        return numbers, np.bincount(own, n, len(numbers)).astype(np.int32)
+
+
+class WholeIndex:
+    """Exact top-k by cosine over every term of the examples."""
+
+    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]]):
+        self.terms, self.idf, self.n = terms, idf, len(examples)
+        vectors = [self.vector(*e) for e in examples]
+        numbers = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int32)
+        order = np.argsort(numbers, kind="stable")
+        self.starts = np.searchsorted(numbers[order], np.arange(len(idf) + 1))
+        self.ids = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])[order]
+        self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)
+
+    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[numbers]
+        return numbers, w / max(1e-300, float(w @ w) ** 0.5)
+
+    def top(self, numbers: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """As ``BlockMaxIndex.top``."""
+        starts = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - starts
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        total = np.bincount(self.ids[at], self.weights[at] * np.repeat(weights, sizes), self.n)
+        if without >= 0:
+            total[without] = 0.0
+        found = np.flatnonzero(total >= np.partition(total, self.n - k)[self.n - k] - 1e-9) if self.n > k else np.arange(self.n)
+        found = found[total[found] > 0]
+        best = found[np.lexsort((found, -np.round(total[found], _PLACES)))[:k]]
+        return [(round(float(total[i]), _PLACES), int(i)) for i in best]
+
+
 class ToxicityModel:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]], k: int):
-        """``examples``: (doc_id, label, weight, counts of terms)."""
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]], k: int, whole: WholeIndex, counts: list[tuple[np.ndarray, np.ndarray]]):
+        """``examples``: (doc_id, label, weight, counts of chosen terms). ``whole``: the index of all their terms, with
+        their ``counts``."""
         self.k = k
         self.vocabulary = Vocabulary(terms)
         self.idf = idf
@@ -222,6 +284,13 @@ class ToxicityModel:
         # without any neighbour: the rate of label 1 among such examples
         self.lone = float(((label * weight)[lone].sum() + 0.5 * self.prior) / (weight[lone].sum() + 0.5)) if len(examples) else 0.0
         self.calibrate = Isotonic(raw[~lone], label[~lone], weight[~lone])
+        # examples without a chosen term, by all their terms
+        self.whole = whole
+        self.all_ids, self.all_labels, self.all_weights = [e[0] for e in examples], label, weight
+        alone = np.flatnonzero([not v for v in vectors])
+        raw = np.array([self.vote(whole.top(*whole.vector(*counts[i]), k, int(i)), whole=True) for i in alone])
+        alone = alone[raw >= 0] if len(alone) else alone
+        self.calibrate_whole = Isotonic(raw[raw >= 0], label[alone], weight[alone])
         self.cache: dict = {}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
@@ -229,17 +298,25 @@ class ToxicityModel:
         norm = sum(w * w for w in raw.values()) ** 0.5
         return {t: w / norm for t, w in raw.items()} if norm > 0 else {}
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, near: list[tuple[float, int]], whole: bool = False) -> float:
         """The similarity-weighted share of label 1 among the neighbours, -1 without any."""
         if not near:
             return -1.0
-        own = np.array([s * s for s, _ in near]) * self.weights[[i for _, i in near]]
-        return float((own * self.labels[[i for _, i in near]]).sum() / own.sum())
+        labels, weights = (self.all_labels, self.all_weights) if whole else (self.labels, self.weights)
+        own = np.array([s * s for s, _ in near]) * weights[[i for _, i in near]]
+        return float((own * labels[[i for _, i in near]]).sum() / own.sum())
+
+    def judge_whole(self, text: str | None) -> tuple[float, list]:
+        """``judge`` for a text without a chosen term."""
+        near = self.whole.top(*self.whole.vector(*self.whole.terms.count(text)), self.k)
+        raw = self.vote(near, whole=True)
+        score = self.lone if raw < 0 or not len(self.calibrate_whole.x) else float(self.calibrate_whole(np.array([raw]))[0])
+        return min(1.0, max(0.0, score)), [{"doc_id": self.all_ids[i], "label": int(self.all_labels[i]), "similarity": s} for s, i in near[:3]]
 
     def judge(self, text: str | None) -> tuple[float, list]:
         counts = self.vocabulary.count(text)
         if not counts:
-            return self.lone, []
+            return self.judge_whole(text)
         key = tuple(sorted(counts.items()))
         if (hit := self.cache.get(key)) is None:
             near = self.index.top(self.vector(counts), self.k)
@@ -273,33 +350,43 @@ def _sample_terms(wanted: np.ndarray):
     return run
 
 
-def _sample_counts(vocabulary: Vocabulary):
+def _sample_counts(terms: Terms):
     def run(batches):
         for b in batches:
-            found = [vocabulary.count(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "terms", "counts"])
+            found = [terms.count(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], ["doc_id", "terms", "counts"])
 
     return run
 
 
-def _document_counts(vocabulary: Vocabulary):
+def _document_counts(terms: Terms):
+    """Documents, as part -1, and documents of each term, in parts of consecutive terms."""
+
     def run(batches):
-        n = vocabulary.size
-        seen, docs = np.zeros(n, np.int64), 0
+        seen, docs = np.zeros(len(terms.hashes), np.int64), 0
         for b in batches:
             docs += b.num_rows
             for t in b.column(0).to_pylist():
-                for i in vocabulary.count(t):
-                    seen[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n), pa.int64()), pa.array(np.r_[docs, seen], pa.int64())], ["term", "docs"])
+                seen[terms.count(t)[0]] += 1
+        for part, counts in [(-1, np.array([docs])), *((a, seen[a : a + PART]) for a in range(0, len(seen), PART))]:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "docs"])
 
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, most_terms: int = 512, least_g2: float = 15.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
+    for part, counts in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "docs"])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, least_g2: float = 15.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from at most ``per_class`` labelled rows of each class; document frequencies count all of ``docs``.
 
-    ``most_terms``, ``least_g2``: size of the vocabulary and least likelihood ratio of a term. ``k``: neighbours.
+    ``least_g2``: least likelihood ratio of a chosen term. ``k``: neighbours.
     Without labelled rows every score is 0.
     """
     small_batches(docs.sparkSession)
@@ -317,27 +404,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     ratio = likelihood_ratio(counts, n0, n1) if n0 and n1 else np.zeros(len(hashes))
     # as very many terms are tried, the least ratio rises with their number: a chance of 1 in 20 that any passes
     strong = np.flatnonzero(ratio >= max(least_g2, 2 * np.log(20 * max(1, len(hashes)))))
-    strong = strong[np.argsort(-ratio[strong], kind="stable")][: 40 * most_terms]
     facts = {int(hashes[i]): (float(ratio[i]), int(counts[i, 0]), int(counts[i, 1])) for i in strong}
-    del sets, hashes, counts, ratio
+    del sets, counts, ratio
     names = {r["term"] for r in sample.select("text").mapInArrow(_sample_terms(np.array(list(facts), np.uint64)), "term string").distinct().toLocalIterator()} if facts else set()
-    terms = choose_terms([(facts[_hash(t)][0], t, *facts[_hash(t)][1:]) for t in names], most_terms)
-    all_ = docs.select(F.col(text_col).cast("string"))
-    counted = all_.mapInArrow(_document_counts(Vocabulary(terms)), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    df = {r["term"]: r["docs"] for r in counted.collect()}  # at most most_terms + 1 rows
-    n = df.get(-1, 0)
-    idf = np.array([np.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    found = {r["doc_id"]: dict(zip(r["terms"], r["counts"], strict=True)) for r in sample.select("doc_id", "text").mapInArrow(_sample_counts(Vocabulary(terms)), "doc_id long, terms array<long>, counts array<long>").toLocalIterator()}
-    examples = [(i, y, w, found[i]) for i, (y, w, _) in sorted(rows.items())]
-    return ToxicityModel(terms, idf, examples, k)
+    terms = choose_terms([(facts[_hash(t)][0], t, *facts[_hash(t)][1:]) for t in names])
+    all_, every = docs.select(F.col(text_col).cast("string")), Terms(hashes)
+    counted = all_.mapInArrow(_document_counts(every), "part long, docs binary").repartition("part").mapInArrow(_sum_counts, "part long, docs binary")
+    parts = {r["part"]: np.frombuffer(r["docs"], np.int64) for r in counted.toLocalIterator()}  # 8 bytes a term
+    n = int(parts[-1][0]) if -1 in parts else 0
+    df = np.concatenate([parts[a] for a in range(0, len(hashes), PART)]) if len(hashes) else np.empty(0, np.int64)
+    idf = np.log((n + 1) / (df + 1)) + 1
+    chosen = np.searchsorted(hashes, np.array([_hash(t) for t in terms], np.uint64))
+    number = np.full(len(hashes), -1)
+    number[chosen] = np.arange(len(terms))
+    found = {r["doc_id"]: (np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample.select("doc_id", "text").mapInArrow(_sample_counts(every), "doc_id long, terms binary, counts binary").toLocalIterator()}
+    examples, counts = [], []
+    for i, (y, w, _) in sorted(rows.items()):
+        t, c = found[i]
+        own = number[t]
+        examples.append((i, y, w, dict(zip(own[own >= 0].tolist(), c[own >= 0].tolist(), strict=True))))
+        counts.append((t, c))
+    return ToxicityModel(terms, idf[chosen], examples, k, WholeIndex(every, idf, counts), counts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Adds score double (0 to 1), predicted int (score >= threshold) and evidence (the nearest examples: doc_id,
     label, similarity) to the carried columns (all by default).
 
-    Defined results: a null or empty text, and one without any term of the vocabulary, has no neighbours: its score is
-    the rate of label 1 among such examples, its evidence empty. Ties in similarity go to the earlier example. Repeated
+    Defined results: a text without a chosen term is judged by all its terms. A null or empty text, and one without any
+    term of the examples, has no neighbours: its score is the rate of label 1 among the examples without a chosen term,
+    its evidence empty. Ties in similarity go to the earlier example. Repeated
     rows score alike; an empty table gives an empty result; columns named like the new ones are replaced.
     """
 

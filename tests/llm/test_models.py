@@ -76,6 +76,44 @@ def test_toxicity(spark, corpus):
     assert set(rows[0].asDict()) == {*DOCS.replace(" long", "").replace(" string", "").split(", "), "score", "predicted", "evidence"}
 
 
+def test_toxic_words_too_varied_to_be_chosen(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(480):
+        toxic = i % 4 == 0
+        words = sentence(rng, 40).split()
+        if toxic:  # 40 groups of three that share no toxic word with another
+            group = random.Random(i // 12)
+            words[:12] = ["".join(group.choices("abcdefghijklmnopqrstuvxyz", k=8)) for _ in range(12)]
+        docs.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    model = tx.fit_toxicity(docs, labels)
+    assert model.vocabulary.size == 0
+    out = {r["doc_id"] for r in docs.where(held_out()).collect()}
+    rows = [r for r in tx.score_toxicity(docs, model).collect() if r["doc_id"] in out]
+    assert all(len(r["evidence"]) == 3 and r["evidence"][0]["similarity"] > 0 for r in rows)
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows) >= 0.9 * len(rows)
+
+
+def test_all_terms_are_compared_exactly():
+    texts = [sentence(random.Random(i), 30) for i in range(200)]
+    terms = tx.Terms(np.unique(np.fromiter((tx._hash(f) for t in texts for f in tx.features(t)), np.uint64)))
+    idf = np.linspace(1, 5, len(terms.hashes))
+    index = tx.WholeIndex(terms, idf, [terms.count(t) for t in texts])
+    dense = np.zeros((200, len(idf)))
+    for i, t in enumerate(texts):
+        numbers, counts = terms.count(t)
+        assert dict(zip(terms.hashes[numbers].tolist(), counts.tolist())) == {tx._hash(f): n for f, n in tx.features(t).items()}
+        dense[i, numbers] = (1 + np.log(counts)) * idf[numbers]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    for i in range(20):
+        got = index.top(*index.vector(*terms.count(texts[i])), 5, i)
+        want = dense @ dense[i]
+        want[i] = 0
+        assert [s for s, _ in got] == pytest.approx(sorted(want, reverse=True)[:5]) and got[0][1] == want.argmax()
+
+
 def test_toxicity_odd_rows(spark, corpus, odd_docs, no_docs):
     docs, labels = corpus
     model = tx.fit_toxicity(docs, labels)
