@@ -137,6 +137,14 @@ def choose_terms(found: list[tuple[float, str, int, int]]) -> list[str]:
     return list(chosen)
 
 
+def nearest(found: np.ndarray, scores: np.ndarray, k: int, ties: bool) -> list[tuple[float, int]]:
+    """The k largest of some scores as (score, position), equal ones by position; with ``ties`` all equal to the k-th."""
+    scores = np.round(scores, _PLACES)
+    best = np.lexsort((found, -scores))
+    n = np.searchsorted(-scores[best], -scores[best[k - 1]], "right") if ties and len(best) > k else k
+    return list(zip(scores[best[:n]].tolist(), found[best[:n]].tolist(), strict=True))
+
+
 class BlockMaxIndex:
     """Exact top-k by dot product over sparse unit vectors, with block maxima."""
 
@@ -175,8 +183,9 @@ class BlockMaxIndex:
         hit = np.flatnonzero(total > 0)
         return hit, total[hit]
 
-    def top(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive similarity, ties by position: (similarity, position).
+    def top(self, query: dict[int, float], k: int, without: int = -1, ties: bool = False) -> list[tuple[float, int]]:
+        """The k examples of largest positive similarity, ties by position: (similarity, position). With ``ties`` also
+        all others as similar as the k-th.
 
         Blocks are opened by falling bound until they hold k candidates; then, at once, all whose bound reaches the
         k-th of these: no other block can hold a better one.
@@ -198,8 +207,7 @@ class BlockMaxIndex:
             if len(rest):
                 i, x = self._scores(terms, weights, rest)
                 found, scores = np.r_[found, i[i != without]], np.r_[scores, x[i != without]]
-        best = np.lexsort((found, -np.round(scores, _PLACES)))[:k]
-        return [(round(float(scores[j]), _PLACES), int(found[j])) for j in best]
+        return nearest(found, scores, k, ties)
 
 
 class Terms:
@@ -242,23 +250,43 @@ class WholeIndex:
         self.starts = np.searchsorted(numbers[order], np.arange(len(idf) + 1))
         self.ids = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])[order]
         self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)
+        self.row: np.ndarray | None = None
+
+    def _spread(self) -> None:
+        """Terms of an eighth of the examples or more as full rows, made where they are first used."""
+        often = np.flatnonzero(np.diff(self.starts) * 8 >= self.n)
+        self.row, self.rows = np.full(len(self.idf), -1), np.zeros((len(often), self.n))
+        self.row[often] = np.arange(len(often))
+        for r, t in enumerate(often.tolist()):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.rows[r, self.ids[own]] = self.weights[own]
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "row": None, "rows": None}
 
     def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[numbers]
         return numbers, w / max(1e-300, float(w @ w) ** 0.5)
 
-    def top(self, numbers: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+    def top(self, numbers: np.ndarray, weights: np.ndarray, k: int, without: int = -1, ties: bool = False) -> list[tuple[float, int]]:
         """As ``BlockMaxIndex.top``."""
-        starts = self.starts[numbers]
-        sizes = self.starts[numbers + 1] - starts
+        if not len(numbers):
+            return []
+        if self.row is None:
+            self._spread()
+        row = self.row[numbers]
+        often, rare = row >= 0, numbers[row < 0]
+        starts = self.starts[rare]
+        sizes = self.starts[rare + 1] - starts
         at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        total = np.bincount(self.ids[at], self.weights[at] * np.repeat(weights, sizes), self.n)
+        total = np.bincount(self.ids[at], self.weights[at] * np.repeat(weights[~often], sizes), self.n).astype(np.float64)
+        for r, w in zip(row[often].tolist(), weights[often].tolist(), strict=True):
+            total += w * self.rows[r]
         if without >= 0:
             total[without] = 0.0
         found = np.flatnonzero(total >= np.partition(total, self.n - k)[self.n - k] - 1e-9) if self.n > k else np.arange(self.n)
         found = found[total[found] > 0]
-        best = found[np.lexsort((found, -np.round(total[found], _PLACES)))[:k]]
-        return [(round(float(total[i]), _PLACES), int(i)) for i in best]
+        return nearest(found, total[found], k, ties)
 
 
 class ToxicityModel:
@@ -270,8 +298,8 @@ class ToxicityModel:
         self.idf = idf
         vectors = [self.vector(c) for *_, c in examples]
         with_terms = [i for i, v in enumerate(vectors) if v]
-        # neighbours in blocks: by the heaviest term
-        with_terms.sort(key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), examples[i][1], examples[i][0]))
+        # neighbours in blocks: by the heaviest term; never by label, as ties in the evidence go by position
+        with_terms.sort(key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), examples[i][0]))
         self.ids = [examples[i][0] for i in with_terms]
         self.labels = np.array([examples[i][1] for i in with_terms], np.float64)
         self.weights = np.array([examples[i][2] for i in with_terms], np.float64)
@@ -279,7 +307,7 @@ class ToxicityModel:
         label, weight = (np.array([e[j] for e in examples], np.float64) for j in (1, 2))
         self.prior = float((label * weight).sum() / weight.sum()) if len(examples) else 0.0
         place = {e: p for p, e in enumerate(with_terms)}
-        raw = np.array([self.vote(self.index.top(vectors[i], k, place.get(i, -1))) for i in range(len(examples))])
+        raw = np.array([self.vote(self.index.top(vectors[i], k, place.get(i, -1), ties=True)) for i in range(len(examples))])
         lone = raw < 0
         # without any neighbour: the rate of label 1 among such examples
         self.lone = float(((label * weight)[lone].sum() + 0.5 * self.prior) / (weight[lone].sum() + 0.5)) if len(examples) else 0.0
@@ -288,7 +316,7 @@ class ToxicityModel:
         self.whole = whole
         self.all_ids, self.all_labels, self.all_weights = [e[0] for e in examples], label, weight
         alone = np.flatnonzero([not v for v in vectors])
-        raw = np.array([self.vote(whole.top(*whole.vector(*counts[i]), k, int(i)), whole=True) for i in alone])
+        raw = np.array([self.vote(whole.top(*whole.vector(*counts[i]), k, int(i), ties=True), whole=True) for i in alone])
         alone = alone[raw >= 0] if len(alone) else alone
         self.calibrate_whole = Isotonic(raw[raw >= 0], label[alone], weight[alone])
         self.cache: dict = {}
@@ -308,7 +336,7 @@ class ToxicityModel:
 
     def judge_whole(self, text: str | None) -> tuple[float, list]:
         """``judge`` for a text without a chosen term."""
-        near = self.whole.top(*self.whole.vector(*self.whole.terms.count(text)), self.k)
+        near = self.whole.top(*self.whole.vector(*self.whole.terms.count(text)), self.k, ties=True)
         raw = self.vote(near, whole=True)
         score = self.lone if raw < 0 or not len(self.calibrate_whole.x) else float(self.calibrate_whole(np.array([raw]))[0])
         return min(1.0, max(0.0, score)), [{"doc_id": self.all_ids[i], "label": int(self.all_labels[i]), "similarity": s} for s, i in near[:3]]
@@ -319,7 +347,7 @@ class ToxicityModel:
             return self.judge_whole(text)
         key = tuple(sorted(counts.items()))
         if (hit := self.cache.get(key)) is None:
-            near = self.index.top(self.vector(counts), self.k)
+            near = self.index.top(self.vector(counts), self.k, ties=True)
             raw = self.vote(near)
             score = self.lone if raw < 0 else float(self.calibrate(np.array([raw]))[0])
             hit = min(1.0, max(0.0, score)), [{"doc_id": self.ids[i], "label": int(self.labels[i]), "similarity": s} for s, i in near[:3]]
@@ -433,7 +461,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
 
     Defined results: a text without a chosen term is judged by all its terms. A null or empty text, and one without any
     term of the examples, has no neighbours: its score is the rate of label 1 among the examples without a chosen term,
-    its evidence empty. Ties in similarity go to the earlier example. Repeated
+    its evidence empty. All examples as similar as the k-th vote, whatever their label; in the
+    evidence ties go by position in the index. Repeated
     rows score alike; an empty table gives an empty result; columns named like the new ones are replaced.
     """
 

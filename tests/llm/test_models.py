@@ -96,6 +96,19 @@ def test_toxic_words_too_varied_to_be_chosen(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows) >= 0.9 * len(rows)
 
 
+def test_all_examples_as_near_as_the_last_vote():
+    # 40 clean and 60 toxic examples with the same only term; 100 clean ones with another
+    examples = [(i, int(40 <= i < 100), 1.0, {int(i >= 100): 1}) for i in range(200)]
+    terms = tx.Terms(np.sort(np.array([tx._hash("bad"), tx._hash("good")], np.uint64)))
+    own = {w: terms.count(w) for w in ("bad", "good")}
+    counts = [own["good" if i >= 100 else "bad"] for i in range(200)]
+    model = tx.ToxicityModel(["bad", "good"], np.ones(2), examples, 15, tx.WholeIndex(terms, np.ones(2), counts), counts)
+    assert len(model.index.top({0: 1.0}, 15)) == 15 and len(model.index.top({0: 1.0}, 15, ties=True)) == 100
+    assert model.vote(model.index.top({0: 1.0}, 15, ties=True)) == pytest.approx(0.6)
+    assert model.judge("bad")[0] == pytest.approx(0.6, abs=0.05) and model.judge("good")[0] < 0.05
+    assert len(model.judge("bad")[1]) == 3
+
+
 def test_all_terms_are_compared_exactly():
     texts = [sentence(random.Random(i), 30) for i in range(200)]
     terms = tx.Terms(np.unique(np.fromiter((tx._hash(f) for t in texts for f in tx.features(t)), np.uint64)))
