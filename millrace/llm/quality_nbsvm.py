@@ -111,7 +111,7 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(ngrams(text)) + self.offset, -30, 30))))
 
 
-def train(grams: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, least_df: int = 3, most_grams: int = 1 << 17, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 20, seed: int = 7) -> QualityModel:
+def train(grams: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, least_df: int = 3, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 20, seed: int = 7) -> QualityModel:
     """Fits the model to the n-grams (sorted hashes) of labelled rows. A fifth of them, kept from the fit, calibrates
     the scores. ``weight``: how many labelled rows a row stands for."""
     none = np.empty(0, np.uint64), np.empty(0)
@@ -124,9 +124,7 @@ def train(grams: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, lea
         test = np.zeros(len(grams), bool)
     fit = np.flatnonzero(~test)
     known, df = np.unique(np.concatenate([grams[i] for i in fit]), return_counts=True)
-    often = np.flatnonzero(df >= least_df)
-    often = np.sort(often[np.argsort(-df[often], kind="stable")][:most_grams])
-    known = known[often]
+    known = known[df >= least_df]
     rows = [np.searchsorted(known, g[np.isin(g, known, assume_unique=True)]) for g in (grams[i] for i in fit)]
     counts = np.full((2, len(known)), smoothing)
     for i, r in zip(fit, rows, strict=True):

@@ -180,6 +180,13 @@ def test_quality(spark, corpus):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
 
 
+def test_all_ngrams_of_three_rows_are_kept():
+    grams = np.arange(150_000, dtype=np.uint64)
+    label = np.array([0, 1] * 10)
+    model = nb.train([grams if y else grams[:100_000] for y in label], label, np.ones(20), epochs=1)
+    assert len(model.grams) == 150_000
+
+
 def test_quality_odd_rows(spark, corpus, odd_docs, no_docs):
     docs, labels = corpus
     model = nb.fit_quality(docs, labels)
