@@ -22,10 +22,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(doc_id, text, label int, weight double) of at most ``per_class`` rows of each class that aren't held out.
 
     Rows are chosen by a hash of their id. ``weight`` is how many labelled rows a row stands for. Repeated labels of an
-    id count once, by majority (ties: 1); null labels and ids are ignored.
+    id count once, by majority (ties: 1); null labels and ids, and ids without a row in ``docs``, are ignored.
     """
     votes = labels.where(f"{label} IS NOT NULL AND {id_col} IS NOT NULL").groupBy(F.col(id_col).alias("__id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    votes = votes.where(~held_out("__id"))
+    votes = votes.where(~held_out("__id")).join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi")
     sizes = {r["label"]: r["count"] for r in votes.groupBy("label").count().collect()}  # two rows
     parts = []
     for c in (0, 1):

@@ -42,6 +42,14 @@ def test_sample_keeps_held_out_rows_back(spark, corpus):
     assert sum(r["weight"] for r in rows) == pytest.approx(400 - len(out), rel=0.1)
 
 
+def test_labels_without_a_document_take_no_place(spark, corpus):
+    docs, labels = corpus
+    strange = spark.range(10_000, 14_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS INT) AS toxic")
+    rows = labelled_sample(docs, labels.unionByName(strange), "toxic", 20).collect()
+    assert [sum(r["label"] == y for r in rows) for y in (0, 1)] == [20, 20]
+    assert sum(r["weight"] for r in rows) < 400
+
+
 def test_top_neighbours_are_exact():
     rng = np.random.default_rng(2)
 
