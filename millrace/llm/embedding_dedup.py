@@ -85,19 +85,24 @@ class ProductIndex:
         residual = (sample - c[nearest(sample, c)])[:8192]
         self.books = [kmeans(residual[:, a:b], 256, 6, seed + 1 + i) for i, (a, b) in enumerate(self.spans)]
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """The list of each vector, its codes, its coding error, and the lists it has to ask (its own first)."""
+    def asked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and whether it asks each list, as a matrix."""
         d = squares(x, self.centroids)
         own = d.argmin(1)
+        plane = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
+        plane[np.arange(len(x)), own] = -1
+        return own, plane <= self.reach
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The list of each vector, its codes, its coding error, and the lists it has to ask (its own first)."""
+        own, asks = self.asked(x)
         residual = x - self.centroids[own]
         codes, error = np.empty((len(x), len(self.spans)), np.uint8), np.zeros(len(x))
         for i, (a, b) in enumerate(self.spans):
             s = squares(residual[:, a:b], self.books[i])
             codes[:, i] = s.argmin(1)
             error += s[np.arange(len(x)), codes[:, i]]
-        plane = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
-        plane[np.arange(len(x)), own] = -1
-        return own, codes, np.sqrt(error), [np.flatnonzero(p <= self.reach) for p in plane]
+        return own, codes, np.sqrt(error), [np.flatnonzero(a) for a in asks]
 
     def table_distances(self, x: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances between vectors and coded members of a list, from lookup tables."""
@@ -135,7 +140,7 @@ def _deal(index: ProductIndex, blocks: dict[int, tuple[int, int]]):
                 for list_ in asks[i].tolist():
                     if list_ in blocks:
                         members, askers = blocks[list_]
-                        out += [(_unit(list_, m, lot % askers), ASKER, v, None, None, None, cells[i]) for m in range(members)]
+                        out += [(_unit(list_, m, lot % askers), ASKER, v, copies[i], None, None, cells[i]) for m in range(members)]
                 if len(out) > 8192:
                     yield _rows(out)
                     out = []
@@ -169,8 +174,10 @@ class _Work:
         self.limit = (index.radius + np.array([r[3] for r in rows]) + 1e-9) ** 2 + 1e-9
         self.vectors = matrix([r[4] for r in rows], index.dims)
         self.root = np.arange(len(rows))
+        self.asks: np.ndarray | None = None
 
-    def ask(self, ids: list[int], cells: list[bytes]) -> Iterator[tuple[int, int | None, int]]:
+    def ask(self, ids: list[int], copies: list[int], cells: list[bytes]) -> Iterator[tuple[int, int | None, int]]:
+        """Links and edges of the askers, and links of members that don't ask the list of a linked asker themselves."""
         x, asker = matrix(cells, self.index.dims), np.array(ids, np.int64)
         near = self.index.table_distances(x, self.list, self.codes) <= self.limit
         near &= asker[:, None] != self.ids
@@ -179,6 +186,13 @@ class _Work:
         q, m = q[keep], m[keep]
         if not len(q):
             return
+        own, _ = self.index.asked(x)
+        if len(far := np.flatnonzero(own[q] != self.list)):
+            if self.asks is None:
+                self.asks = self.index.asked(self.vectors)[1]
+            far = far[~self.asks[m[far], own[q[far]]]]
+            more = np.bincount(m[far], np.array(copies, np.float64)[q[far]], len(self.ids)).astype(np.int64)
+            yield from ((int(self.ids[i]), None, int(more[i])) for i in np.flatnonzero(more))
         edges = np.flatnonzero(np.diff(q)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(q)], strict=True):
             v, linked = ids[q[a]], m[a:b]
@@ -196,16 +210,16 @@ def _search(index: ProductIndex):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
 
     def run(batches):
-        now, work, members, ids, cells, out = None, None, [], [], [], []
+        now, work, members, ids, lots, cells, out = None, None, [], [], [], [], []
 
         def flush():
-            nonlocal work, members, ids, cells
+            nonlocal work, members, ids, lots, cells
             if ids:
                 if work is None and members:
                     work, members = _Work(index, now >> 40, members), []
                 if work is not None:
-                    out.extend(work.ask(ids, cells))
-            ids, cells = [], []
+                    out.extend(work.ask(ids, lots, cells))
+            ids, lots, cells = [], [], []
 
         for batch in batches:
             for unit, kind, id_, copies, codes, error, vector in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
@@ -215,7 +229,7 @@ def _search(index: ProductIndex):
                 if kind == MEMBER:
                     members.append((id_, copies, codes, error, vector))
                 else:
-                    ids.append(id_), cells.append(vector)
+                    ids.append(id_), lots.append(copies), cells.append(vector)
                     if len(ids) == 256:
                         flush()
                 if len(out) > 20_000:
@@ -234,8 +248,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
 
     The index is fitted on at most ``sample`` distinct vectors, chosen by a hash; every vector is indexed and asks.
     ``lists``: coarse centroids (default 2 sqrt(n), at most an eighth of the sample: raise the sample with the table). ``slack``: lists are asked up to this share of the
-    search radius behind the bisecting plane. 1 finds every link; 0.5 finds all but those whose difference lies mostly
-    across one plane, which for directions spread over d dimensions is sqrt(d) / 2 deviations out; recall is tested.
+    search radius behind the bisecting plane. 0.5 or more finds every link: of two linked vectors one at least asks
+    the other's list, and it counts for both if the other doesn't ask.
     ``block``: members, and askers by eight, of one unit of work.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do

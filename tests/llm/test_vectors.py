@@ -52,6 +52,14 @@ def test_recall_of_the_default(spark):
     assert sum(got.values()) >= 0.9 * sum(links.values()) and all(got[i] <= links[i] for i in got)
 
 
+def test_both_ends_count_a_link_across_lists(spark):
+    # points along an arc: differences lie across the planes between lists
+    rows = [[float(np.cos(a)), float(np.sin(a))] for a in np.linspace(0, 3, 400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in ed.near_duplicate_vectors(df, lists=12).collect()}
+    assert got == brute(list(range(len(rows))), rows)[0]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0]), (10, [1e200, 2e200]), (11, [1e-200, 2e-200])]
