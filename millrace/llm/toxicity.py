@@ -1,12 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is chosen by association with the label (likelihood ratio) in a bounded labelled sample: words, and
-word beginnings of 3 to 5 letters, which catch families of inflected words. Inverse document frequencies count all
-documents. The labelled examples form an inverted index cut into blocks of consecutive examples; each posting list
-keeps its largest weight per block, so a query visits blocks by falling upper bound and stops, exactly, when no block
-left can beat its k-th neighbour. Votes weighted by similarity are calibrated on the examples, each without itself.
-
-A document without a chosen term is held against all examples over every term of theirs, with a calibration of its own.
+The terms are all words of a bounded labelled sample, of both classes; none is dropped. A term weighs (1 + ln tf) * idf
+* (1 + relevance * G2): inverse document frequencies count all documents, and G2, the likelihood ratio of the term's
+counts in the two classes, lets words that tell the classes apart count for more than chance ones. The examples form an
+inverted index cut into blocks of consecutive examples; each posting list keeps its largest weight per block, so a query
+scores the blocks of the highest bounds first and then only those whose bound reaches its k-th neighbour: the result is
+exact. Votes weighted by similarity are calibrated on the examples, each held against the others without its near copies.
 """
 
 from __future__ import annotations
@@ -21,51 +20,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import small_batches
 from .labelled import Isotonic, labelled_sample, scored
 
 WORD = re.compile(r"[^\W\d_]+")
-HEADS = (3, 4, 5)
 BLOCK = 64
+#: Queries that are compared at once.
+BATCH = 128
 #: Terms whose document counts travel in one row.
 PART = 8192
+EVIDENCE = 3
 _PLACES = 12
 
 
-def features(text: str | None) -> Counter:
-    """Counts of the words and word beginnings ('abc*') of a text."""
-    words = Counter(WORD.findall(text.lower())) if text else Counter()
-    out = Counter(words)
-    for w, n in words.items():
-        for k in HEADS:
-            if len(w) > k:
-                out[w[:k] + "*"] += n
-    return out
-
-
-class Vocabulary:
-    """The chosen terms, for counting them in a text."""
-
-    def __init__(self, terms: list[str]):
-        self.size = len(terms)
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.heads = {n: {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*") and len(t) == n + 1} for n in HEADS}
-        # most words fail on their first letters
-        self.starts = {t.rstrip("*")[: HEADS[0]] for t in terms}
-
-    def count(self, text: str | None) -> dict[int, int]:
-        """Counts of the vocabulary's terms in a text, by number."""
-        out: dict[int, int] = {}
-        if text and self.size:
-            starts, first = self.starts, HEADS[0]
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                if w[:first] in starts:
-                    if (t := self.words.get(w)) is not None:
-                        out[t] = out.get(t, 0) + n
-                    for k, d in self.heads.items():
-                        if len(w) > k and (t := d.get(w[:k])) is not None:
-                            out[t] = out.get(t, 0) + n
-        return out
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of the distinct words of a text, their counts)."""
+    words = Counter(WORD.findall(text.lower())) if text else {}
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    counts = np.fromiter(words.values(), np.int32, len(words))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
 def near_copies(examples: list[np.ndarray], bands: int = 8, rows: int = 8, least: float = 0.6, seed: int = 3) -> np.ndarray:
@@ -113,289 +87,164 @@ def count_families(examples: list[np.ndarray], labels: np.ndarray, families: np.
 
 
 def likelihood_ratio(counts: np.ndarray, n0: int, n1: int) -> np.ndarray:
-    """The likelihood ratio of terms that mark label 1, from their families in both classes; 0 for others."""
-    total, seen = n0 + n1, counts.sum(1)
+    """The likelihood ratio of terms against chance, from their families in both classes; 0 if a class has none."""
     g2 = np.zeros(len(counts))
+    if not n0 or not n1:
+        return g2
+    total, seen = n0 + n1, counts.sum(1)
     with np.errstate(divide="ignore", invalid="ignore"):
         for y, n in ((0, n0), (1, n1)):
             for o, e in ((counts[:, y], seen * n / total), (n - counts[:, y], (total - seen) * n / total)):
                 g2 += np.where(o > 0, 2 * o * np.log(o / e), 0.0)
-    return np.where((counts[:, 1] >= 2) & (counts[:, 1] * n0 > counts[:, 0] * n1), g2, 0.0)
-
-
-def choose_terms(found: list[tuple[float, str, int, int]]) -> list[str]:
-    """Of terms (likelihood ratio, term, families of class 0, of class 1) the strongest, largest ratio first.
-
-    A term is left out if a chosen beginning of it marks the label as surely: of a family of words its common start
-    stays, with the forms that say more than it.
-    """
-    chosen: dict[str, float] = {}
-    for _, term, a0, a1 in sorted(found, key=lambda x: (-x[0], x[1])):
-        sure, word = a1 / (a0 + a1), term.rstrip("*")
-        if all(chosen.get(word[:k] + "*", -1.0) < sure - 0.02 for k in HEADS if k < len(word)):
-            chosen[term] = sure
-    return list(chosen)
+    return np.maximum(g2, 0.0)
 
 
-def nearest(found: np.ndarray, scores: np.ndarray, k: int, ties: bool) -> list[tuple[float, int]]:
-    """The k largest of some scores as (score, position), equal ones by position; with ``ties`` all equal to the k-th."""
-    scores = np.round(scores, _PLACES)
-    best = np.lexsort((found, -scores))
-    n = np.searchsorted(-scores[best], -scores[best[k - 1]], "right") if ties and len(best) > k else k
-    return list(zip(scores[best[:n]].tolist(), found[best[:n]].tolist(), strict=True))
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of several runs, one run after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class BlockMaxIndex:
-    """Exact top-k by dot product over sparse unit vectors, with block maxima."""
+    """Exact top-k by dot product over sparse vectors of positive weights, in blocks of consecutive examples.
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self.n = len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.ids = np.array([i for p in lists for i, _ in p], np.int64)
-        self.weights = np.array([w for p in lists for _, w in p], np.float64)
-        self.bounds = np.zeros((terms, self.blocks))
-        self.starts = np.zeros((terms, self.blocks + 1), np.int64)
-        at = 0
-        for t, p in enumerate(lists):
-            own = np.array([i // BLOCK for i, _ in p], np.int64)
-            np.maximum.at(self.bounds[t], own, np.array([w for _, w in p]))
-            self.starts[t] = at + np.searchsorted(own, np.arange(self.blocks + 1))
-            at += len(p)
-
-    def _scores(self, terms: list[int], weights: list[float], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the examples in some blocks that share a term."""
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        total = np.zeros(self.blocks * BLOCK)
-        for t, w in zip(terms, weights, strict=True):
-            s, e = self.starts[t, 0], self.starts[t, -1]
-            if len(blocks) == 1:
-                s, e = self.starts[t, blocks[0]], self.starts[t, blocks[0] + 1]
-                total[self.ids[s:e]] += w * self.weights[s:e]
-            else:
-                ids = self.ids[s:e]
-                in_ = wanted[ids // BLOCK]
-                total[ids[in_]] += w * self.weights[s:e][in_]
-        hit = np.flatnonzero(total > 0)
-        return hit, total[hit]
-
-    def top(self, query: dict[int, float], k: int, without: int = -1, ties: bool = False) -> list[tuple[float, int]]:
-        """The k examples of largest positive similarity, ties by position: (similarity, position). With ``ties`` also
-        all others as similar as the k-th.
-
-        Blocks are opened by falling bound until they hold k candidates; then, at once, all whose bound reaches the
-        k-th of these: no other block can hold a better one.
-        """
-        if not query or not self.n:
-            return []
-        terms = list(query)
-        weights = [query[t] for t in terms]
-        bound = np.asarray(weights) @ self.bounds[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, scores, at = np.empty(0, np.int64), np.empty(0), 0
-        while at < len(order) and len(found) < k + 1:
-            i, x = self._scores(terms, weights, order[at : at + 1])
-            found, scores, at = np.r_[found, i[i != without]], np.r_[scores, x[i != without]], at + 1
-        if at < len(order):
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
-            rest = order[at:][bound[order[at:]] >= least - 1e-9]
-            if len(rest):
-                i, x = self._scores(terms, weights, rest)
-                found, scores = np.r_[found, i[i != without]], np.r_[scores, x[i != without]]
-        return nearest(found, scores, k, ties)
-
-
-class Terms:
-    """All terms of the examples, by sorted hash, for counting them in a text."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.known: dict[str, list[int]] = {}
-
-    def _numbers(self, word: str) -> list[int]:
-        names = [word, *(word[:k] + "*" for k in HEADS if len(word) > k)]
-        keys = np.array([_hash(x) for x in names], np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        if len(self.known) >= 100_000:
-            self.known.clear()
-        out = self.known[word] = at[self.hashes[at] == keys].tolist()
-        return out
+    Terms of few examples are posting lists. Terms of an eighth of the examples or more (at most eight times the mean
+    number of terms of an example) are kept as full rows, cut into the blocks, with the largest weight in each block.
+    A query adds up its short lists; with these sums and the block maxima of its other terms every block has a bound.
+    """
 
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the terms of a text, ascending, their counts)."""
-        at, n = [], []
-        if text and len(self.hashes):
-            for w, c in Counter(WORD.findall(text.lower())).items():
-                if (hit := self.known.get(w)) is None:
-                    hit = self._numbers(w)
-                at += hit
-                n += [c] * len(hit)
-        numbers, own = np.unique(np.array(at, np.int32), return_inverse=True)
-        return numbers, np.bincount(own, n, len(numbers)).astype(np.int32)
-
-
-class WholeIndex:
-    """Exact top-k by cosine over every term of the examples."""
-
-    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]]):
-        self.terms, self.idf, self.n = terms, idf, len(examples)
-        vectors = [self.vector(*e) for e in examples]
-        numbers = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int32)
-        order = np.argsort(numbers, kind="stable")
-        self.starts = np.searchsorted(numbers[order], np.arange(len(idf) + 1))
-        self.ids = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])[order]
-        self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)
-        self.row: np.ndarray | None = None
-
-    def _spread(self) -> None:
-        """Terms of an eighth of the examples or more as full rows, made where they are first used."""
-        often = np.flatnonzero(np.diff(self.starts) * 8 >= self.n)
-        self.row, self.rows = np.full(len(self.idf), -1), np.zeros((len(often), self.n))
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.n = len(vectors)
+        self.blocks = max(1, -(-self.n // BLOCK))
+        numbers = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
+        weights = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        ids = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        often = np.flatnonzero(np.bincount(numbers, minlength=terms) * 8 >= max(8, self.n))
+        self.row = np.full(terms, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        for r, t in enumerate(often.tolist()):
-            own = slice(self.starts[t], self.starts[t + 1])
-            self.rows[r, self.ids[own]] = self.weights[own]
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "row": None, "rows": None}
-
-    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[numbers]
-        return numbers, w / max(1e-300, float(w @ w) ** 0.5)
-
-    def top(self, numbers: np.ndarray, weights: np.ndarray, k: int, without: int = -1, ties: bool = False) -> list[tuple[float, int]]:
-        """As ``BlockMaxIndex.top``."""
-        if not len(numbers):
-            return []
-        if self.row is None:
-            self._spread()
         row = self.row[numbers]
-        often, rare = row >= 0, numbers[row < 0]
-        starts = self.starts[rare]
-        sizes = self.starts[rare + 1] - starts
-        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        total = np.bincount(self.ids[at], self.weights[at] * np.repeat(weights[~often], sizes), self.n).astype(np.float64)
-        for r, w in zip(row[often].tolist(), weights[often].tolist(), strict=True):
-            total += w * self.rows[r]
-        if without >= 0:
-            total[without] = 0.0
-        found = np.flatnonzero(total >= np.partition(total, self.n - k)[self.n - k] - 1e-9) if self.n > k else np.arange(self.n)
-        found = found[total[found] > 0]
-        return nearest(found, total[found], k, ties)
+        self.rows = np.zeros((self.blocks, len(often), BLOCK))
+        in_ = row >= 0
+        self.rows[ids[in_] // BLOCK, row[in_], ids[in_] % BLOCK] = weights[in_]
+        self.bounds = self.rows.max(2).T.copy()
+        order = np.argsort(numbers[~in_], kind="stable")
+        self.ids, self.weights = ids[~in_][order].astype(np.int32), weights[~in_][order]
+        self.starts = np.searchsorted(numbers[~in_][order], np.arange(terms + 1)).astype(np.int32)
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (numbers, weights) the (similarities, positions) of the ``k`` examples of largest positive
+        similarity and of all others as similar as the k-th, most similar first, ties by position. ``without``:
+        positions to leave out."""
+        size = self.blocks * BLOCK
+        part, q = np.zeros((len(queries), size)), np.zeros((len(queries), self.rows.shape[1]))
+        for j, (numbers, weights) in enumerate(queries):
+            row = self.row[numbers]
+            often = row >= 0
+            q[j, row[often]] = weights[often]
+            starts = self.starts[numbers[~often]]
+            count = self.starts[numbers[~often] + 1] - starts
+            at = spans(starts, count)
+            part[j] = np.bincount(self.ids[at], self.weights[at] * np.repeat(weights[~often], count), size)
+            if without is not None:
+                part[j, without[j]] = -np.inf
+        bound = part.reshape(len(queries), self.blocks, BLOCK).max(2) + q @ self.bounds
+        total = np.full(part.shape, -np.inf)
+
+        def score(open_: np.ndarray) -> np.ndarray:
+            """The k-th best score so far, after some blocks were opened for some queries."""
+            for b in np.flatnonzero(open_.any(0)).tolist():
+                who, at = np.flatnonzero(open_[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                total[who, at] = part[who, at] + q[who] @ self.rows[b]
+            return np.partition(total, size - k, axis=1)[:, size - k] if size > k else np.zeros(len(queries))
+
+        opened = np.zeros(bound.shape, bool)
+        first = min(self.blocks, 1 + -(-k // BLOCK))
+        np.put_along_axis(opened, np.argsort(-bound, axis=1, kind="stable")[:, :first], True, 1)
+        least = score(opened)
+        # no other block can hold a nearer one than the k-th so far
+        least = score(~opened & (bound > 0) & (bound >= least[:, None] - 1e-9))
+        out = []
+        for own, limit in zip(total, np.round(least, _PLACES), strict=True):
+            found = np.flatnonzero((own > 0) & (own >= limit - 1e-11))
+            near = np.round(own[found], _PLACES)
+            found, near = found[near >= limit], near[near >= limit]
+            order = np.argsort(-near, kind="stable")
+            out.append((near[order], found[order]))
+        return out
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]], k: int, whole: WholeIndex, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """``examples``: (doc_id, label, weight, counts of chosen terms). ``whole``: the index of all their terms, with
-        their ``counts``."""
-        self.k = k
-        self.vocabulary = Vocabulary(terms)
-        self.idf = idf
-        vectors = [self.vector(c) for *_, c in examples]
-        with_terms = [i for i, v in enumerate(vectors) if v]
-        # neighbours in blocks: by the heaviest term; never by label, as ties in the evidence go by position
-        with_terms.sort(key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), examples[i][0]))
-        self.ids = [examples[i][0] for i in with_terms]
-        self.labels = np.array([examples[i][1] for i in with_terms], np.float64)
-        self.weights = np.array([examples[i][2] for i in with_terms], np.float64)
-        self.index = BlockMaxIndex([vectors[i] for i in with_terms], len(terms))
-        label, weight = (np.array([e[j] for e in examples], np.float64) for j in (1, 2))
-        self.prior = float((label * weight).sum() / weight.sum()) if len(examples) else 0.0
-        place = {e: p for p, e in enumerate(with_terms)}
-        raw = np.array([self.vote(self.index.top(vectors[i], k, place.get(i, -1), ties=True)) for i in range(len(examples))])
+    """The index of the examples, the weights of their terms and the calibration."""
+
+    def __init__(self, hashes: np.ndarray, scale: np.ndarray, examples: list[tuple], families: np.ndarray, k: int):
+        """``hashes``: sorted, of all terms; ``scale``: idf times relevance of each; ``examples``: (doc_id, label, weight,
+        numbers of its terms, their counts); ``families``: see ``near_copies``."""
+        self.hashes, self.scale, self.k = hashes, scale, k
+        vectors = [self.vector(n, c) for *_, n, c in examples]
+        # neighbours in blocks: by the heaviest of the most frequent terms; never by label, as ties go by position
+        df = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=len(hashes)) if vectors else np.empty(0)
+        often = [t[w.argmax()] if len(t) and (w := w_ * (8 * df[t] >= len(vectors))).any() else -1 for t, w_ in vectors]
+        order = sorted(range(len(examples)), key=lambda i: (int(often[i]), examples[i][0], i))
+        examples, vectors, families = [examples[i] for i in order], [vectors[i] for i in order], families[order]
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        self.labels = np.array([e[1] for e in examples], np.int64)
+        weight = np.array([e[2] for e in examples], np.float64)
+        self.index = BlockMaxIndex(vectors, len(hashes))
+        members = {f: np.flatnonzero(families == f) for f in np.unique(families).tolist()}
+        near = (n for a in range(0, len(vectors), BATCH) for n in self.index.top(vectors[a : a + BATCH], k, [members[f] for f in families[a : a + BATCH].tolist()]))
+        raw = np.array([self.vote(*n) for n in near])
         lone = raw < 0
+        self.prior = float((self.labels * weight).sum() / weight.sum()) if len(examples) else 0.0
         # without any neighbour: the rate of label 1 among such examples
-        self.lone = float(((label * weight)[lone].sum() + 0.5 * self.prior) / (weight[lone].sum() + 0.5)) if len(examples) else 0.0
-        self.calibrate = Isotonic(raw[~lone], label[~lone], weight[~lone])
-        # examples without a chosen term, by all their terms
-        self.whole = whole
-        self.all_ids, self.all_labels, self.all_weights = [e[0] for e in examples], label, weight
-        alone = np.flatnonzero([not v for v in vectors])
-        raw = np.array([self.vote(whole.top(*whole.vector(*counts[i]), k, int(i), ties=True), whole=True) for i in alone])
-        alone = alone[raw >= 0] if len(alone) else alone
-        self.calibrate_whole = Isotonic(raw[raw >= 0], label[alone], weight[alone])
-        self.cache: dict = {}
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + np.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        norm = sum(w * w for w in raw.values()) ** 0.5
-        return {t: w / norm for t, w in raw.items()} if norm > 0 else {}
-
-    def vote(self, near: list[tuple[float, int]], whole: bool = False) -> float:
-        """The similarity-weighted share of label 1 among the neighbours, -1 without any."""
-        if not near:
-            return -1.0
-        labels, weights = (self.all_labels, self.all_weights) if whole else (self.labels, self.weights)
-        own = np.array([s * s for s, _ in near]) * weights[[i for _, i in near]]
-        return float((own * labels[[i for _, i in near]]).sum() / own.sum())
-
-    def judge_whole(self, text: str | None) -> tuple[float, list]:
-        """``judge`` for a text without a chosen term."""
-        near = self.whole.top(*self.whole.vector(*self.whole.terms.count(text)), self.k, ties=True)
-        raw = self.vote(near, whole=True)
-        score = self.lone if raw < 0 or not len(self.calibrate_whole.x) else float(self.calibrate_whole(np.array([raw]))[0])
-        return min(1.0, max(0.0, score)), [{"doc_id": self.all_ids[i], "label": int(self.all_labels[i]), "similarity": s} for s, i in near[:3]]
-
-    def judge(self, text: str | None) -> tuple[float, list]:
-        counts = self.vocabulary.count(text)
-        if not counts:
-            return self.judge_whole(text)
-        key = tuple(sorted(counts.items()))
-        if (hit := self.cache.get(key)) is None:
-            near = self.index.top(self.vector(counts), self.k, ties=True)
-            raw = self.vote(near)
-            score = self.lone if raw < 0 else float(self.calibrate(np.array([raw]))[0])
-            hit = min(1.0, max(0.0, score)), [{"doc_id": self.ids[i], "label": int(self.labels[i]), "similarity": s} for s, i in near[:3]]
-            if len(self.cache) >= 50_000:
-                self.cache.clear()
-            self.cache[key] = hit
-        return hit
-
-
-def _hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term)
-
-
-def _sample_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [np.sort(np.fromiter(map(_hash, features(t)), np.uint64)).tobytes() for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], ["doc_id", "label", "weight", "hashes"])
+        self.lone = float(((self.labels * weight)[lone].sum() + 0.5 * self.prior) / (weight[lone].sum() + 0.5)) if len(examples) else 0.0
+        self.calibrate = Isotonic(raw[~lone], self.labels[~lone], weight[~lone])
 
+    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of a text."""
+        w = (1 + np.log(counts)) * self.scale[numbers]
+        return numbers, w / max(1e-300, float(w @ w) ** 0.5)
 
-def _sample_terms(wanted: np.ndarray):
-    """The names of some term hashes."""
-    known = set(wanted.tolist())
+    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the terms of a text, ascending, their counts)."""
+        return known(self.hashes, *features(text))
 
-    def run(batches):
-        names = sorted({t for b in batches for text in b.column(0).to_pylist() for t in features(text) if _hash(t) in known})
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["term"])
+    def vote(self, similarity: np.ndarray, at: np.ndarray) -> float:
+        """The share of label 1 among neighbours, weighted by the squared similarity; -1 without any."""
+        own = similarity * similarity
+        return float((own * self.labels[at]).sum() / own.sum()) if len(at) else -1.0
 
-    return run
+    def judge(self, texts: list) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Scores of texts, and the (similarities, positions) of their nearest examples."""
+        near = [n for a in range(0, len(texts), BATCH) for n in self.index.top([self.vector(*self.terms(t)) for t in texts[a : a + BATCH]], self.k)]
+        raw = np.array([self.vote(*n) for n in near])
+        score = np.where(raw < 0, self.lone, self.calibrate(raw))
+        return np.clip(score, 0.0, 1.0), [(s[:EVIDENCE], at[:EVIDENCE]) for s, at in near]
 
 
-def _sample_counts(terms: Terms):
-    def run(batches):
-        for b in batches:
-            found = [terms.count(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], ["doc_id", "terms", "counts"])
+def known(hashes: np.ndarray, own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers among the sorted ``hashes``, counts) of those hashes of a text that are there."""
+    if not len(hashes):
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    at = np.searchsorted(hashes, own)
+    at[at == len(hashes)] = 0
+    hit = hashes[at] == own
+    return at[hit].astype(np.int32), counts[hit]
 
-    return run
+
+def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [features(t) for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], ["doc_id", "label", "weight", "hashes", "counts"])
 
 
-def _document_counts(terms: Terms):
+def _document_counts(hashes: np.ndarray):
     """Documents, as part -1, and documents of each term, in parts of consecutive terms."""
 
     def run(batches):
-        seen, docs = np.zeros(len(terms.hashes), np.int64), 0
+        seen, docs = np.zeros(len(hashes), np.int64), 0
         for b in batches:
             docs += b.num_rows
             for t in b.column(0).to_pylist():
-                seen[terms.count(t)[0]] += 1
+                seen[known(hashes, *features(t))[0]] += 1
         for part, counts in [(-1, np.array([docs])), *((a, seen[a : a + PART]) for a in range(0, len(seen), PART))]:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "docs"])
 
@@ -411,65 +260,52 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["part", "docs"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, least_g2: float = 15.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, relevance: float = 0.5, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from at most ``per_class`` labelled rows of each class; document frequencies count all of ``docs``.
 
-    ``least_g2``: least likelihood ratio of a chosen term. ``k``: neighbours.
-    Without labelled rows every score is 0.
+    ``relevance``: weight of the likelihood ratio of a term, 0 for plain TF-IDF. ``k``: neighbours. Equal texts of one
+    label are one example, named by their smallest id; unlike texts under one id are examples each. Without labelled
+    rows every score is 0.
     """
     small_batches(docs.sparkSession)
-    # at most 2 * per_class rows, read three times; the driver holds 8 bytes a term of them
-    sample = saved(labelled_sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col).select("doc_id", "label", "weight", "text"), "labelled")
-    hashed = sample.mapInArrow(_sample_hashes, "doc_id long, label int, weight double, hashes binary")
-    # equal texts are one example, with the weight of all
-    texts: dict[tuple, list] = {}
-    for r in sorted(hashed.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"])):
-        texts.setdefault((r["label"], bytes(r["hashes"])), [r["doc_id"], 0.0])[1] += r["weight"]
-    rows = {i: (y, w, np.frombuffer(h, np.uint64)) for (y, h), (i, w) in texts.items()}
-    del texts
-    sets, marks = [h for *_, h in rows.values()], np.array([y for y, *_ in rows.values()])
-    hashes, counts, n0, n1 = count_families(sets, marks, near_copies(sets))
-    ratio = likelihood_ratio(counts, n0, n1) if n0 and n1 else np.zeros(len(hashes))
-    # as very many terms are tried, the least ratio rises with their number: a chance of 1 in 20 that any passes
-    strong = np.flatnonzero(ratio >= max(least_g2, 2 * np.log(20 * max(1, len(hashes)))))
-    facts = {int(hashes[i]): (float(ratio[i]), int(counts[i, 0]), int(counts[i, 1])) for i in strong}
-    del sets, counts, ratio
-    names = {r["term"] for r in sample.select("text").mapInArrow(_sample_terms(np.array(list(facts), np.uint64)), "term string").distinct().toLocalIterator()} if facts else set()
-    terms = choose_terms([(facts[_hash(t)][0], t, *facts[_hash(t)][1:]) for t in names])
-    all_, every = docs.select(F.col(text_col).cast("string")), Terms(hashes)
-    counted = all_.mapInArrow(_document_counts(every), "part long, docs binary").repartition("part").mapInArrow(_sum_counts, "part long, docs binary")
+    sample = labelled_sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col).select("doc_id", "label", "weight", "text")
+    # 12 bytes a distinct word of the sample's rows
+    rows = sample.mapInArrow(_sample_terms, "doc_id long, label int, weight double, hashes binary, counts binary")
+    merged: dict[tuple, list] = {}
+    for r in rows.toLocalIterator():
+        own = merged.setdefault((r["label"], bytes(r["hashes"]), bytes(r["counts"])), [r["doc_id"], 0.0])
+        own[:] = min(own[0], r["doc_id"]), own[1] + r["weight"]
+    found = sorted((i, y, h, c, w) for (y, h, c), (i, w) in merged.items())
+    del merged
+    sets, marks = [np.frombuffer(h, np.uint64) for _, _, h, _, _ in found], np.array([y for _, y, *_ in found], np.int64)
+    families = near_copies(sets)
+    hashes, counts, n0, n1 = count_families(sets, marks, families)
+    ratio = likelihood_ratio(counts, n0, n1)
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_document_counts(hashes), "part long, docs binary").repartition("part").mapInArrow(_sum_counts, "part long, docs binary")
     parts = {r["part"]: np.frombuffer(r["docs"], np.int64) for r in counted.toLocalIterator()}  # 8 bytes a term
     n = int(parts[-1][0]) if -1 in parts else 0
     df = np.concatenate([parts[a] for a in range(0, len(hashes), PART)]) if len(hashes) else np.empty(0, np.int64)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    chosen = np.searchsorted(hashes, np.array([_hash(t) for t in terms], np.uint64))
-    number = np.full(len(hashes), -1)
-    number[chosen] = np.arange(len(terms))
-    found = {r["doc_id"]: (np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample.select("doc_id", "text").mapInArrow(_sample_counts(every), "doc_id long, terms binary, counts binary").toLocalIterator()}
-    examples, counts = [], []
-    for i, (y, w, _) in sorted(rows.items()):
-        t, c = found[i]
-        own = number[t]
-        examples.append((i, y, w, dict(zip(own[own >= 0].tolist(), c[own >= 0].tolist(), strict=True))))
-        counts.append((t, c))
-    return ToxicityModel(terms, idf[chosen], examples, k, WholeIndex(every, idf, counts), counts)
+    scale = (np.log((n + 1) / (df + 1)) + 1) * (1 + relevance * ratio)
+    examples = [(i, y, w, np.searchsorted(hashes, h).astype(np.int32), np.frombuffer(c, np.int32)) for (i, y, _, c, w), h in zip(found, sets, strict=True)]
+    return ToxicityModel(hashes, scale, examples, families, k)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Adds score double (0 to 1), predicted int (score >= threshold) and evidence (the nearest examples: doc_id,
     label, similarity) to the carried columns (all by default).
 
-    Defined results: a text without a chosen term is judged by all its terms. A null or empty text, and one without any
-    term of the examples, has no neighbours: its score is the rate of label 1 among the examples without a chosen term,
-    its evidence empty. All examples as similar as the k-th vote, whatever their label; in the
-    evidence ties go by position in the index. Repeated
-    rows score alike; an empty table gives an empty result; columns named like the new ones are replaced.
+    Defined results: a null or empty text, and one without any word of the examples, has no neighbours: its score is the
+    rate of label 1 among such examples, its evidence empty. All examples as similar as the k-th vote, whatever their
+    label; in the evidence ties go by position in the index. Repeated rows score alike; an empty table gives an empty
+    result; columns named like the new ones are replaced.
     """
 
     def run(texts: list) -> list[pa.Array]:
-        found = [model.judge(t) for t in texts]
-        score = np.array([s for s, _ in found])
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
-        return [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([e for _, e in found], kind)]
+        score, near = model.judge(texts)
+        at = np.concatenate([p for _, p in near])
+        parts = [pa.array(model.ids[at]), pa.array(model.labels[at].astype(np.int32)), pa.array(np.concatenate([s for s, _ in near]))]
+        ends = np.cumsum([0, *(len(p) for _, p in near)]).astype(np.int32)
+        evidence = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["doc_id", "label", "similarity"]))
+        return [pa.array(score), pa.array((score >= threshold).astype(np.int32)), evidence]
 
     return scored(docs, run, [("score", "double"), ("predicted", "int"), ("evidence", "array<struct<doc_id:bigint,label:int,similarity:double>>")], text_col, carry)

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import quality_nbsvm as nb
 from millrace.llm import toxicity as tx
@@ -50,25 +54,66 @@ def test_labels_without_a_document_take_no_place(spark, corpus):
     assert sum(r["weight"] for r in rows) < 400
 
 
-def test_top_neighbours_are_exact():
+def plain_vector(text, number, scale):
+    """TF-IDF by the plain rule: {term: weight} at length 1."""
+    words = Counter(w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if w in number)
+    raw = {w: (1 + math.log(n)) * scale[number[w]] for w, n in words.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    return {w: x / norm for w, x in raw.items()}
+
+
+def plain_nearest(q, examples, k):
+    """Every example against the query: (similarity, position), the k nearest and all as near as the k-th."""
+    found = sorted((-round(s, 12), j) for j, v in examples if (s := sum(x * v.get(w, 0.0) for w, x in q.items())) > 0)
+    return [(-s, j) for s, j in found if s <= found[min(k, len(found)) - 1][0]]
+
+
+@pytest.mark.parametrize("n", [1, 20, 700])
+def test_top_neighbours_are_exact(n):
     rng = np.random.default_rng(2)
 
     def vector():
-        v = {int(t): float(rng.random()) for t in rng.choice(40, rng.integers(1, 6), replace=False)}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / norm for t, x in v.items()}
+        t = np.sort(rng.choice(60, rng.integers(1, 9), replace=False, p=np.arange(1, 61) / 1830)).astype(np.int32)
+        w = rng.random(len(t))
+        return t, w / np.linalg.norm(w)
 
-    examples = [vector() for _ in range(700)]
-    index = tx.BlockMaxIndex(examples, 40)
+    examples = [vector() for _ in range(n)]
+    index = tx.BlockMaxIndex(examples, 60)
+    plain = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in examples]
     for k in (1, 7, 900):
-        for i in range(60):
-            q, without = (vector(), -1) if i % 2 else (examples[i], i)
-            want = [(round(sum(q[t] * v.get(t, 0.0) for t in q), 12), j) for j, v in enumerate(examples) if j != without]
-            want = sorted(((s, j) for s, j in want if s > 0), key=lambda x: (-x[0], x[1]))[:k]
-            got = index.top(q, k, without)
-            assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-11)
-            assert {j for _, j in got} == {j for _, j in want} or k == 7 or k == 1
-    assert index.top({}, 3) == [] and tx.BlockMaxIndex([], 4).top({1: 1.0}, 3) == []
+        queries_, without = [vector() if i % 2 else examples[i % n] for i in range(60)], [np.array([i % n, (i + 1) % n]) for i in range(60)]
+        for held in (None, without):
+            for i, (s, at) in enumerate(index.top(queries_, k, held)):
+                left = [(j, v) for j, v in enumerate(plain) if held is None or j not in held[i]]
+                want = plain_nearest(dict(zip(*(x.tolist() for x in queries_[i]), strict=True)), left, k)
+                assert s.tolist() == pytest.approx([x for x, _ in want], abs=1e-11)
+                assert k == 7 or set(at.tolist()) == {j for _, j in want}
+    none = np.empty(0, np.int32), np.empty(0)
+    assert len(index.top([none], 3)[0][0]) == 0 and len(tx.BlockMaxIndex([], 4).top([(np.array([1]), np.ones(1))], 3)[0][0]) == 0
+
+
+def test_neighbours_are_those_of_plain_cosine(spark):
+    """Every document of the table against every example, term by term."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = tx.fit_toxicity(docs, labels)
+    sample = {r["doc_id"]: r["label"] for r in labelled_sample(docs, labels, "toxic", 3000).collect()}
+    assert set(model.ids.tolist()) <= set(sample) and all(sample[i] == y for i, y in zip(model.ids.tolist(), model.labels.tolist(), strict=True))
+    words = {w for i in sample for w in re.findall(r"[^\W\d_]+", (texts[i] or "").lower())}
+    assert len(words) == len(model.hashes)  # every word of every example, whatever its label
+    number = {w: int(np.searchsorted(model.hashes, np.uint64(xxhash.xxh64_intdigest(w)))) for w in words}
+    df = Counter(w for t in texts.values() for w in set(re.findall(r"[^\W\d_]+", (t or "").lower())) & words)
+    n = len(texts)
+    assert all(model.scale[number[w]] >= math.log((n + 1) / (df[w] + 1)) + 1 - 1e-9 for w in words)
+    examples = [(j, plain_vector(texts[i], number, model.scale)) for j, i in enumerate(model.ids.tolist())]
+    rows = {r["doc_id"]: r for r in tx.score_toxicity(docs, model).collect()}
+    for i, text in texts.items():
+        want = plain_nearest(plain_vector(text, number, model.scale), examples, model.k)
+        vote = sum(s * s * model.labels[j] for s, j in want) / sum(s * s for s, _ in want) if want else -1.0
+        score = float(model.calibrate(np.array([vote]))[0]) if want else model.lone
+        assert rows[i]["score"] == pytest.approx(min(1.0, max(0.0, score)), abs=1e-6)
+        assert [e["similarity"] for e in rows[i]["evidence"]] == pytest.approx([s for s, _ in want[:3]], abs=1e-9)
+        assert bool(want) == bool(set(re.findall(r"[^\W\d_]+", (text or "").lower())) & words)
 
 
 def test_toxicity(spark, corpus):
@@ -97,7 +142,6 @@ def test_toxic_words_too_varied_to_be_chosen(spark):
         labels.append((i, 1, int(toxic)))
     docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
     model = tx.fit_toxicity(docs, labels)
-    assert model.vocabulary.size == 0
     out = {r["doc_id"] for r in docs.where(held_out()).collect()}
     rows = [r for r in tx.score_toxicity(docs, model).collect() if r["doc_id"] in out]
     assert all(len(r["evidence"]) == 3 and r["evidence"][0]["similarity"] > 0 for r in rows)
@@ -106,33 +150,21 @@ def test_toxic_words_too_varied_to_be_chosen(spark):
 
 def test_all_examples_as_near_as_the_last_vote():
     # 40 clean and 60 toxic examples with the same only term; 100 clean ones with another
-    examples = [(i, int(40 <= i < 100), 1.0, {int(i >= 100): 1}) for i in range(200)]
-    terms = tx.Terms(np.sort(np.array([tx._hash("bad"), tx._hash("good")], np.uint64)))
-    own = {w: terms.count(w) for w in ("bad", "good")}
-    counts = [own["good" if i >= 100 else "bad"] for i in range(200)]
-    model = tx.ToxicityModel(["bad", "good"], np.ones(2), examples, 15, tx.WholeIndex(terms, np.ones(2), counts), counts)
-    assert len(model.index.top({0: 1.0}, 15)) == 15 and len(model.index.top({0: 1.0}, 15, ties=True)) == 100
-    assert model.vote(model.index.top({0: 1.0}, 15, ties=True)) == pytest.approx(0.6)
-    assert model.judge("bad")[0] == pytest.approx(0.6, abs=0.05) and model.judge("good")[0] < 0.05
-    assert len(model.judge("bad")[1]) == 3
-
-
-def test_all_terms_are_compared_exactly():
-    texts = [sentence(random.Random(i), 30) for i in range(200)]
-    terms = tx.Terms(np.unique(np.fromiter((tx._hash(f) for t in texts for f in tx.features(t)), np.uint64)))
-    idf = np.linspace(1, 5, len(terms.hashes))
-    index = tx.WholeIndex(terms, idf, [terms.count(t) for t in texts])
-    dense = np.zeros((200, len(idf)))
-    for i, t in enumerate(texts):
-        numbers, counts = terms.count(t)
-        assert dict(zip(terms.hashes[numbers].tolist(), counts.tolist())) == {tx._hash(f): n for f, n in tx.features(t).items()}
-        dense[i, numbers] = (1 + np.log(counts)) * idf[numbers]
-    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    for i in range(20):
-        got = index.top(*index.vector(*terms.count(texts[i])), 5, i)
-        want = dense @ dense[i]
-        want[i] = 0
-        assert [s for s, _ in got] == pytest.approx(sorted(want, reverse=True)[:5]) and got[0][1] == want.argmax()
+    hashes = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in ("bad", "good")], np.uint64))
+    own = {w: tx.known(hashes, *tx.features(w)) for w in ("bad", "good")}
+    examples = [(i, int(40 <= i < 100), 1.0, *own["good" if i >= 100 else "bad"]) for i in range(200)]
+    model = tx.ToxicityModel(hashes, np.ones(2), examples, np.arange(200), 15)
+    s, at = model.index.top([model.vector(*own["bad"])], 15)[0]
+    assert sorted(model.ids[at].tolist()) == list(range(100)) and model.vote(s, at) == pytest.approx(0.6)
+    score, near = model.judge(["bad", "good"])
+    assert score[0] == pytest.approx(0.6, abs=0.05) and score[1] < 0.05 and len(near[0][0]) == 3
+
+
+def test_unlike_texts_of_one_id_are_examples_each(spark):
+    docs = spark.createDataFrame([(2, "alpha beta", "en", "s", 1), (2, "gamma delta", "en", "s", 1), (3, "gamma delta", "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(2, 1, 1), (3, 1, 0)], LABELS)
+    model = tx.fit_toxicity(docs, labels)
+    assert sorted(zip(model.ids.tolist(), model.labels.tolist(), strict=True)) == [(2, 1), (2, 1), (3, 0)]
 
 
 def test_toxicity_odd_rows(spark, corpus, odd_docs, no_docs):
@@ -206,11 +238,22 @@ def test_quality_odd_rows(spark, corpus, odd_docs, no_docs):
         assert nb.score_quality(docs.limit(3), nb.fit_quality(docs, table)).count() == 3
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op2_toxicity", "toxic", 0.8), ("op3_quality_classifier", "quality", 0.9)])
-def test_queries_on_held_out_rows(spark, name, label, least):
-    rows = queries()[name](spark, "/root/testdata/sf0.01").collect()
-    assert len(rows) == 1000
-    truth = {r["doc_id"]: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    tested = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert sum(r["predicted"] == truth[r["doc_id"]] for r in tested) >= least * len(tested)
+def ranked(score, label):
+    """The area under the ROC curve by all pairs."""
+    bad, good = (np.array([s for s, y in zip(score, label, strict=True) if y == c]) for c in (0, 1))
+    return float(((good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()))
+
+
+@pytest.mark.parametrize(("name", "label", "rare", "auc", "recall", "precision"), [("op2_toxicity", "toxic", 1, 0.95, 0.85, 0.9), ("op3_quality_classifier", "quality", 0, 0.98, 0.9, 0.9)])
+def test_queries_on_held_out_rows(spark, name, label, rare, auc, recall, precision):
+    """A constant score has an area of 0.5 and finds no row of the rare class."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries()[name](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    tested = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    score, predicted, true = zip(*tested, strict=True)
+    assert ranked(score, true) >= auc
+    hits = sum(p == rare == y for p, y in zip(predicted, true, strict=True))
+    assert hits >= recall * true.count(rare) and hits >= precision * predicted.count(rare)
     assert spark.read.parquet(f"{SF}/documents.parquet").count() == queries()[name](spark, SF).count()

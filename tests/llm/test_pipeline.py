@@ -31,7 +31,7 @@ def test_classifier_stages(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic, good = fit_toxicity(docs, labels), fit_quality(docs, labels)
     out = p.toxicity(spark, docs, SF)
-    assert out.columns == docs.columns and kept(out) == {i for i, t in texts.items() if toxic.judge(t)[0] < 0.5}
+    assert out.columns == docs.columns and kept(out) == {i for i, t in texts.items() if toxic.judge([t])[0][0] < 0.5}
     assert kept(p.quality(spark, docs, SF)) == {i for i, t in texts.items() if good.score(t) >= 0.3}
 
 
