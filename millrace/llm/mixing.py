@@ -1,26 +1,33 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-All of it is DataFrame functions. Tokens are summed per cell (source, language, topic), where categories without a
-target of their own share the class ``*``; so the cells are bounded by the targets given, not by the data. On that one
-row of cells, SQL higher-order functions rake the weights to the three marginals and then find the scale at which the
-expected tokens meet the budget although no probability may exceed one. Every document is then kept with its cell's
-probability, by a hash of its id: the same document is always decided alike.
+All work on rows is DataFrame functions. Tokens are summed per cell (source, language, topic), where categories without a
+target of their own share the class ``*``; so the cells are bounded by the targets given, not by the data. The driver
+rakes the weights of these cells to the three marginals until they are met. A cell's probability is its weight over its
+share of the tokens, times the largest scale at which none exceeds one: so the expected tokens meet the targets, and the
+scarcest cell decides how much is kept. Every document is kept with its cell's probability, by a hash of its id: the
+same document is always decided alike.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import saved
 
 REST = "*"
 DIMS = ("source", "lang", "topic")
-#: Default targets: the largest source held to its share, languages and topics near an even-handed natural mix.
+CELL = ["__c0", "__c1", "__c2"]
+#: Default targets: src0, one source of twenty, is held to an even share even where it is the hot one; languages and
+#: long texts are kept near the natural mix. Categories that a filter may empty have no target of their own: a target far
+#: above what there is would shrink the whole sample.
 TARGETS = {
-    "source": {"src0": 0.30, REST: 0.70},
-    "lang": {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.10, REST: 0.02},
-    "topic": {"long": 0.22, "prose": 0.70, "short": 0.03, "tabular": 0.03, REST: 0.02},
+    "source": {"src0": 0.05, REST: 0.95},
+    "lang": {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10, REST: 0.02},
+    "topic": {"long": 0.37, REST: 0.63},
 }
 
 
@@ -41,80 +48,71 @@ def _class_of(col: Column, names: list[str]) -> Column:
     return out
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def rake(cells: Column, goals: list[list[float]], sweeps: int) -> Column:
-    """Factors struct(f0, f1, f2) after ``sweeps`` sweeps over ``cells``: array<struct(c0, c1, c2, tokens)>.
+def rake(cells: dict[tuple[int, int, int], float], goals: list[list[float]], close: float = 1e-10, most_sweeps: int = 1000) -> tuple[dict[tuple[int, int, int], float], list[list[float]]]:
+    """(the weights of the cells, summing to 1, the goals as scaled) after raking the ``cells`` (their tokens).
 
-    A category without tokens gets no mass; the targets of a dimension are scaled to the categories that have some.
+    The goals of a dimension are scaled to the categories that have tokens. Sweeps end when no marginal is off by more than
+    ``close``, or no longer gets nearer, as where goals contradict each other.
     """
-    dims = range(3)
-    total = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["tokens"])
-
-    def present(d: int) -> Column:
-        raw = F.array(*map(F.lit, goals[d]))
-        some = F.transform(raw, lambda g, i: F.when(F.exists(cells, lambda c: (c[f"c{d}"] == i) & (c["tokens"] > 0)), g).otherwise(0.0))
-        return _bound(some, lambda a: _bound(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), lambda s: F.transform(a, lambda g: F.when(s > 0, g / s).otherwise(0.0))))
+    weight = {c: t for c, t in cells.items() if t > 0}
+    scaled = []
+    for d, goal in enumerate(goals):
+        there = {c[d] for c in weight}
+        total = sum(g for i, g in enumerate(goal) if i in there)
+        scaled.append([g / total if i in there and total > 0 else 0.0 for i, g in enumerate(goal)])
+    before = float("inf")
+    for _ in range(most_sweeps):
+        for d, goal in enumerate(scaled):
+            have = marginal(weight, d, len(goal))
+            weight = {c: w * goal[c[d]] / have[c[d]] if have[c[d]] > 0 else 0.0 for c, w in weight.items()}
+        off = max((abs(h - g) for d, goal in enumerate(scaled) for h, g in zip(marginal(weight, d, len(goal)), goal, strict=True)), default=0.0)
+        if off <= close or off >= before:
+            break
+        before = off
+    total = sum(weight.values())
+    return {c: w / total if total > 0 else 0.0 for c, w in weight.items()}, scaled
+
+
+def marginal(weight: dict[tuple[int, int, int], float], d: int, size: int) -> list[float]:
+    out = [0.0] * size
+    for c, w in weight.items():
+        out[c[d]] += w
+    return out
 
-    def step(acc: Column, d: int, const: Column) -> Column:
-        def factor(g: Column, i: Column) -> Column:
-            have = F.aggregate(F.filter(cells, lambda c: c[f"c{d}"] == i), F.lit(0.0), lambda a, c: a + c["tokens"] * _product(acc, c, [e for e in dims if e != d]))
-            return _bound(have, lambda h: F.when(h > 0, g * const["total"] / h).otherwise(0.0))
 
-        new = F.transform(const[f"g{d}"], factor)
-        return F.struct(*(new.alias(f"f{e}") if e == d else acc[f"f{e}"].alias(f"f{e}") for e in dims))
+def cell_table(cells: dict[tuple[int, int, int], float], goals: list[list[float]], budget_share: float) -> list[tuple]:
+    """Rows (c0, c1, c2, weight, prob, and for each dimension the reached less the target share of the cell's category).
 
-    def run(const: Column) -> Column:
-        start = F.struct(*(F.array_repeat(F.lit(1.0), len(goals[d])).alias(f"f{d}") for d in dims))
-        sweep = lambda acc, _: _bound(_bound(step(acc, 0, const), lambda a: step(a, 1, const)), lambda a: step(a, 2, const))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), start, sweep)
+    prob: scale * weight / share, with the largest scale up to ``budget_share`` at which no probability exceeds 1; so the
+    expected tokens are scale times all tokens. A cell without tokens has probability 1.
+    """
+    weight, goals = rake(cells, goals)
+    total = sum(cells.values())
+    scale = min([budget_share, *(cells[c] / total / w for c, w in weight.items() if w > 0)])
+    off = [[h - g for h, g in zip(marginal(weight, d, len(goal)), goal, strict=True)] for d, goal in enumerate(goals)]
+    return [(*c, weight.get(c, 0.0), min(1.0, scale * weight[c] * total / t) if t > 0 else 1.0, *(off[d][c[d]] for d in range(3))) for c, t in sorted(cells.items())]
 
-    return _bound(F.struct(total.alias("total"), *(present(d).alias(f"g{d}") for d in dims)), run)
 
+OUT = ("weight", "prob", *(f"{d}_residual" for d in DIMS))
 
-def _product(factors: Column, cell: Column, dims) -> Column:
-    out = F.lit(1.0)
-    for d in dims:
-        out = out * factors[f"f{d}"][cell[f"c{d}"]]
-    return out
 
+def _probabilities(rows: DataFrame, goals: list[list[float]], budget_share: float) -> DataFrame:
+    # as many rows as the targets have combinations, at most
+    sums = rows.groupBy(*CELL).agg(F.sum("n_tokens").alias("tokens")).collect()
+    table = cell_table({(r[0], r[1], r[2]): float(r[3]) for r in sums}, goals, budget_share)
+    values = ", ".join(f"({a}, {b}, {c}, {', '.join(f'{x!r}D' for x in rest)})" for a, b, c, *rest in [*table, (-1, -1, -1, *[0.0] * len(OUT))])
+    return F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join((*CELL, *OUT))})"))
 
-def cell_probabilities(cells: DataFrame, goals: list[list[float]], budget_share: float, sweeps: int) -> DataFrame:
-    """Rows (c0, c1, c2, weight, prob) of the cells (c0, c1, c2 int, tokens double).
 
-    weight: the cell's share of tokens after raking. prob: min(1, scale * weight / share), with the scale at which the
-    expected tokens are ``budget_share`` of all tokens (or all tokens of positive weight, if these are fewer).
-    """
-    one = cells.agg(F.sort_array(F.collect_list(F.struct("c0", "c1", "c2", "tokens"))).alias("cells"))
-    one = one.select("cells", rake(F.col("cells"), goals, sweeps).alias("f"))
-    one = one.select(F.transform("cells", lambda c: F.struct(c["c0"].alias("c0"), c["c1"].alias("c1"), c["c2"].alias("c2"), c["tokens"].alias("tokens"), (c["tokens"] * _product(F.col("f"), c, range(3))).alias("w"))).alias("cells"))
-    add = lambda a, x: a + x
-    one = one.select("cells", F.aggregate(F.transform("cells", lambda c: c["w"]), F.lit(0.0), add).alias("all_w"), F.aggregate(F.transform("cells", lambda c: c["tokens"]), F.lit(0.0), add).alias("all_t"))
-    # in units of all tokens: expected(scale) = sum of min(share, scale * weight); 80 halvings of [0, 2^40]
-    unit = one.select(F.transform("cells", lambda c: F.struct(c["c0"].alias("c0"), c["c1"].alias("c1"), c["c2"].alias("c2"), (c["tokens"] / F.greatest("all_t", F.lit(1e-300))).alias("share"), (c["w"] / F.greatest("all_w", F.lit(1e-300))).alias("weight"))).alias("cells"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        got = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.least(c["share"], mid * c["weight"]))
-        return _bound(got >= budget_share, lambda enough: F.struct(F.when(enough, acc["lo"]).otherwise(mid).alias("lo"), F.when(enough, mid).otherwise(acc["hi"]).alias("hi")))
-
-    scale = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(F.lit(0.0).alias("lo"), F.lit(float(1 << 40)).alias("hi")), halve)["hi"]
-    unit = unit.select("cells", scale.alias("scale")).select(F.explode("cells").alias("c"), "scale")
-    prob = F.when(F.col("c.share") > 0, F.least(F.lit(1.0), F.col("scale") * F.col("c.weight") / F.col("c.share"))).otherwise(1.0)
-    return unit.select("c.c0", "c.c1", "c.c2", "c.weight", prob.alias("prob"))
-
-
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget_share: float = 0.9, sweeps: int = 40, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", topic_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget_share: float = 0.9, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", topic_col: str | None = None) -> DataFrame:
     """Samples documents so that expected tokens meet target shares of source, language and topic.
 
-    Returns doc_id, source, lang, topic, n_tokens long (words), weight (target share of the document's cell), prob,
-    sampled. ``targets``: for each of the three, category: share; ``*`` takes all others (0 if not given). Without
-    ``topic_col`` the topic is the shape of the text. Where targets contradict each other or ask for more tokens of a
-    cell than there are, the result is the nearest raking after ``sweeps`` sweeps, and the rest of the budget goes to
-    the other cells in proportion.
+    Returns doc_id, source, lang, topic, n_tokens long (words), weight (raked share of the document's cell), prob,
+    sampled, and source_residual, lang_residual, topic_residual: the reached (expected) less the target share of the
+    document's category. ``targets``: for each of the three, category: share; ``*`` takes all others (0 if not given);
+    shares are scaled to the categories that have tokens. Without ``topic_col`` the topic is the shape of the text.
+    ``budget_share``: most tokens to keep, as a share. Less are kept where targets ask for more of a cell than there is:
+    the shares are met, not the budget. Targets that contradict each other leave residuals other than 0.
 
     Defined results: null categories belong to ``*``; a null text has no tokens, and a cell without tokens is kept; a
     row that repeats an id is decided like the first; an empty table gives an empty result; other columns are ignored.
@@ -122,22 +120,30 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *([F.col(topic_col).alias("topic")] if topic_col else []))
     rows, goals = _with_cells(rows, targets or TARGETS)
     rows = saved(rows.select("doc_id", *DIMS, "n_tokens", *CELL), "mix")
-    probs = _probabilities(rows, goals, budget_share, sweeps)
-    out = rows.join(probs, CELL).withColumn("sampled", _draw(F.col("doc_id"), seed) < F.col("prob"))
-    return out.select("doc_id", *DIMS, "n_tokens", "weight", "prob", "sampled")
+    out = rows.join(_probabilities(rows, goals, budget_share), CELL).withColumn("sampled", _draw(F.col("doc_id"), seed) < F.col("prob"))
+    return out.select("doc_id", *DIMS, "n_tokens", "weight", "prob", "sampled", *OUT[2:])
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget_share: float = 0.9, sweeps: int = 40, seed: int = 17) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget_share: float = 0.9, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source and any others) that ``mix`` samples, decided alike, with their
     columns. Texts are read twice but don't move: cells are summed first, and the bounded table of cells is broadcast."""
     kept = [F.col(f"__row.{c}") for c in docs.columns]
     rows = docs.select("doc_id", "source", "lang", "text", F.struct(*docs.columns).alias("__row"))
     rows, goals = _with_cells(rows, targets or TARGETS)
-    probs = _probabilities(rows, goals, budget_share, sweeps)
+    probs = _probabilities(rows, goals, budget_share)
     return rows.join(probs, CELL).where(_draw(F.col("doc_id"), seed) < F.col("prob")).select(*kept)
 
 
-CELL = ["__c0", "__c1", "__c2"]
+def mixing_report(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """What ``mix`` reached: (dimension, category, target as given, expected share, sampled share) of the tokens."""
+    spec = targets or TARGETS
+    class_ = lambda d: F.when(F.col(d).isin([k for k in spec[d] if k != REST]), F.col(d)).otherwise(REST)
+    each = mixed.select("n_tokens", "prob", "sampled", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), class_(d).alias("category")) for d in DIMS))).alias("c"))
+    sums = each.groupBy("c.dimension", "c.category").agg(F.sum(F.col("n_tokens") * F.col("prob")).alias("e"), F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("s"))
+    whole = Window.partitionBy("dimension")  # a row for each category with a target
+    goal = reduce(lambda out, x: F.when((F.col("dimension") == x[0]) & (F.col("category") == x[1]), F.lit(x[2])).otherwise(out), [(d, c, float(g)) for d in DIMS for c, g in spec[d].items()], F.lit(0.0))
+    share = lambda c: F.when(F.sum(c).over(whole) > 0, F.col(c) / F.sum(c).over(whole)).otherwise(0.0)
+    return sums.select("dimension", "category", goal.alias("target"), share("e").alias("expected"), share("s").alias("sampled"))
 
 
 def _with_cells(rows: DataFrame, spec: dict[str, dict[str, float]]) -> tuple[DataFrame, list[list[float]]]:
@@ -149,13 +155,6 @@ def _with_cells(rows: DataFrame, spec: dict[str, dict[str, float]]) -> tuple[Dat
     return rows, [[float(spec[d].get(n, 0.0)) for n in names[d]] for d in DIMS]
 
 
-def _probabilities(rows: DataFrame, goals: list[list[float]], budget_share: float, sweeps: int) -> DataFrame:
-    cells = rows.groupBy(*(F.col(c).alias(c[2:]) for c in CELL)).agg(F.sum("n_tokens").cast("double").alias("tokens"))
-    probs = saved(cell_probabilities(cells, goals, budget_share, sweeps), "cells")
-    # as many rows as the targets have combinations, at most
-    return F.broadcast(probs.select(*(F.col(c[2:]).alias(c) for c in CELL), "weight", "prob"))
-
-
 def _draw(id_: Column, seed: int) -> Column:
     """A number in [0, 1) by the id alone."""
     return F.shiftrightunsigned(F.xxhash64(id_, F.lit(seed)), 11) / F.lit(float(1 << 53))

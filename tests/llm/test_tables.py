@@ -140,32 +140,78 @@ def plain_rake(cells, goals, sweeps):
     return {c: x / sum(w.values()) for c, x in w.items()}
 
 
-def test_raking_meets_the_marginals(spark):
+def test_raking_meets_the_marginals():
     rng = random.Random(1)
     cells = {(a, b, c): float(rng.randrange(1, 1000)) for a in range(3) for b in range(2) for c in range(3)}
     goals = [[0.2, 0.5, 0.3], [0.6, 0.4], [0.1, 0.1, 0.8]]
-    df = spark.createDataFrame([(*k, t) for k, t in cells.items()], "c0 int, c1 int, c2 int, tokens double")
-    got = {(r["c0"], r["c1"], r["c2"]): r for r in mixing.cell_probabilities(df, goals, 0.3, 30).collect()}
-    want = plain_rake(cells, goals, 30)
-    assert all(got[c]["weight"] == pytest.approx(want[c], abs=1e-9) for c in cells)
+    got = {(r[0], r[1], r[2]): r[3:] for r in mixing.cell_table(cells, goals, 0.9)}
+    want = plain_rake(cells, goals, 60)
+    assert all(got[c][0] == pytest.approx(want[c], abs=1e-9) and max(map(abs, got[c][2:])) < 1e-9 for c in cells)
+    kept = {c: cells[c] * got[c][1] for c in cells}
     for d, g in enumerate(goals):
         for i, x in enumerate(g):
-            assert sum(r["weight"] for c, r in got.items() if c[d] == i) == pytest.approx(x, abs=1e-6)
-    total = sum(cells.values())
-    assert sum(cells[c] * got[c]["prob"] for c in cells) == pytest.approx(0.3 * total, rel=1e-6) and max(r["prob"] for r in got.values()) <= 1
+            assert sum(t for c, t in kept.items() if c[d] == i) == pytest.approx(x * sum(kept.values()), rel=1e-6)
+    # the scarcest cell is kept whole, or the budget is reached
+    assert max(p for _, p, *_ in got.values()) == pytest.approx(1) or sum(kept.values()) == pytest.approx(0.9 * sum(cells.values()))
+    small = {(r[0], r[1], r[2]): r[4] for r in mixing.cell_table(cells, goals, 0.05)}
+    assert sum(cells[c] * p for c, p in small.items()) == pytest.approx(0.05 * sum(cells.values()), rel=1e-9)
+
+
+def test_contradicting_targets_leave_a_residual():
+    cells = {(0, 0, 0): 50.0, (1, 1, 0): 50.0}  # sources and languages coincide
+    rows = mixing.cell_table(cells, [[0.2, 0.8], [0.6, 0.4], [1.0]], 0.9)
+    assert max(abs(x) for r in rows for x in r[5:]) > 0.1 and all(0 <= r[4] <= 1 for r in rows)
+    assert mixing.cell_table({}, [[1.0], [1.0], [1.0]], 0.9) == [] and mixing.cell_table({(0, 0, 0): 0.0}, [[1.0], [1.0], [1.0]], 0.9)[0][4] == 1.0
 
 
 def test_mixing(skewed):
     spec = {"source": {"hot": 0.2, "*": 0.8}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 0.7, "short": 0.2, "*": 0.1}}
-    rows = mixing.mix(skewed, spec, budget_share=0.4).collect()
+    rows = mixing.mix(skewed, spec, budget_share=0.05).collect()
     assert len(rows) == 901
     tokens = sum(r["n_tokens"] for r in rows)
-    assert sum(r["n_tokens"] * r["prob"] for r in rows) == pytest.approx(0.4 * tokens, rel=1e-6)
-    again = {r["doc_id"] for r in mixing.sampled(skewed.repartition(3), spec, budget_share=0.4).collect()}
+    assert sum(r["n_tokens"] * r["prob"] for r in rows) == pytest.approx(0.05 * tokens, rel=1e-6)
+    rows = mixing.mix(skewed, spec).collect()
+    again = {r["doc_id"] for r in mixing.sampled(skewed.repartition(3), spec).collect()}
     assert again == {r["doc_id"] for r in rows if r["sampled"]} and 0 < len(again) < 901
     assert mixing.sampled(skewed, spec).columns == skewed.columns
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_mixing_query_against_plain_raking(spark, sf):
+    """Cells and probabilities of the registered query by a plain loop over the whole table; the targets are reached."""
+    sf = f"/root/testdata/sf{sf}"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries()["op8_source_mixing"](spark, sf).collect()}
+    assert set(rows) == set(docs)
+    names = [[*(k for k in mixing.TARGETS[d] if k != "*"), "*"] for d in mixing.DIMS]
+    cells, cell, n = Counter(), {}, {}
+    for i, r in docs.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        bars = (r["text"] or "").count("|")
+        topic = "tabular" if 10 * bars > len(words) else "short" if len(words) < 50 else "long" if len(words) > 1000 else "prose"
+        n[i], own = len(words), (r["source"], r["lang"], topic)
+        cell[i] = tuple(k.index(x) if x in k else len(k) - 1 for k, x in zip(names, own, strict=True))
+        cells[cell[i]] += len(words)
+        assert (rows[i]["n_tokens"], rows[i]["topic"]) == (len(words), topic)
+    goals = [[mixing.TARGETS[d][k] for k in own] for d, own in zip(mixing.DIMS, names, strict=True)]
+    weight, total = plain_rake(cells, goals, 300), sum(cells.values())
+    scale = min([0.9, *(t / total / weight[c] for c, t in cells.items() if t and weight[c])])
+    for i, r in rows.items():
+        c = cell[i]
+        assert r["weight"] == pytest.approx(weight[c], abs=1e-6) and r["prob"] == pytest.approx(min(1, scale * weight[c] * total / cells[c]) if cells[c] else 1, abs=1e-4)
+        assert max(abs(r[f"{d}_residual"]) for d in mixing.DIMS) < 1e-6
+    expected = sum(n[i] * r["prob"] for i, r in rows.items())
+    report = {(r["dimension"], r["category"]): r for r in mixing.mixing_report(spark.createDataFrame(list(rows.values()))).collect()}
+    for d, (goal, own) in enumerate(zip(goals, names, strict=True)):
+        there = [i for i in range(len(own)) if any(c[d] == i and t for c, t in cells.items())]
+        for i in there:
+            reached = sum(n[x] * r["prob"] for x, r in rows.items() if cell[x][d] == i) / expected
+            assert reached == pytest.approx(goal[i] / sum(goal[j] for j in there), abs=0.01)
+            assert report[mixing.DIMS[d], own[i]]["expected"] == pytest.approx(reached, abs=1e-9)
+    if len(docs) > 5000:  # what was drawn is off by chance only
+        assert all(abs(r["sampled"] - r["expected"]) < 0.03 for r in report.values())
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     assert mixing.mix(odd_docs).count() == 11 and mixing.mix(no_docs).collect() == []
     assert mixing.sampled(no_docs).collect() == [] and mixing.sampled(odd_docs).columns == odd_docs.columns
