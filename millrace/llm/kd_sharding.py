@@ -1,11 +1,15 @@
 """K-d tree partitioning: splits at distributed weighted medians along the widest metadata dimension.
 
-All of it is DataFrame functions. A row is a point of three coordinates: language, source and size class. A
-coordinate is a 62-bit key: 16 bits of the category, then 30 bits of a hash of the text, then 16 of a hash of the id.
-So a cut can fall inside a category, copies of a text stay next to each other, and even a group of copies that is
-larger than a shard can be cut. All nodes of a level are treated in one job: a histogram of bytes over the keys in
-reach, refined around the median until it is known closely enough. Only the histograms reach the driver: at most
-``BINS`` rows for each of the at most ``shards`` nodes, whatever the input.
+All of it is DataFrame functions. The points are groups of equal texts, with their bytes as weight; their dimensions are
+language, source (of a group the smallest of each) and size class, as codes of at most ``CODES`` values. A node is as
+wide in a dimension as the spread of its bytes over all bytes in the order of that dimension: a common measure. A cut
+goes through the weighted median of the widest dimension, and inside the median's code by a hash of the text; so a code
+that holds any share of the rows can be cut, and copies of a text are neighbours in every order. A group of more than a
+little of a shard's bytes is laid out as slices, by hashes of its ids, so that a cut can fall inside it, too.
+
+All nodes of a level are treated together, in two jobs as a rule: the bytes of each code, then the bytes over the hashes
+of the median's code. Only these histograms reach the driver: at most ``3 * CODES``, then ``BINS``, rows for each of the
+at most ``shards`` nodes, whatever the input.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import numbered, saved
 
-BINS = 4096
-KEY_BITS, CODE_BITS = 62, 16
+CODES, BINS = 1024, 4096
+#: A place in a code's order: 32 bits of a hash of the text, then 15 of the slice and 15 of its part.
+PLACE_BITS, SLICE_BITS = 62, 15
 DIMENSIONS = ("lang", "source", "size_class")
 LAW = "bytes"
 
@@ -29,21 +34,24 @@ class Node:
     first: int
     number: int
     dimension: int | None = None
-    cut: int | None = None
+    cut: tuple[int, int] | None = None  # code and place of the first point of the right side
     left: Node | None = None
     right: Node | None = None
 
 
-def _codes(size: Column, lang: Column, source: Column) -> dict[str, Column]:
-    category = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << CODE_BITS))
-    return {"lang": category(lang), "source": category(source), "size_class": F.least(F.lit((1 << CODE_BITS) - 1), F.floor(F.log2(size) * 1024)).cast("long")}
+def _codes(size: Column, lang: Column, source: Column) -> list[Column]:
+    category = lambda c: F.pmod(F.xxhash64(c), F.lit(CODES)).cast("int")
+    return [category(lang), category(source), F.least(F.lit(CODES - 1), F.floor(F.log2(size) * (CODES // 32))).cast("int")]
 
 
 def _route(node: Node, leaf: bool) -> Column:
-    """The number of the node (or the shard) that a row belongs to, as one expression over its keys."""
+    """The shard of a point, or the number of the open node that it belongs to (-1: none), as one expression."""
     if node.left is None:
-        return F.lit(node.first if leaf else node.number)
-    return F.when(F.col(f"k{node.dimension}") < F.lit(node.cut), _route(node.left, leaf)).otherwise(_route(node.right, leaf))
+        return F.lit(node.first if leaf else node.number if node.shards > 1 else -1)
+    code, place = node.cut
+    c = F.col(f"c{node.dimension}")
+    left = (c < F.lit(code)) | ((c == F.lit(code)) & (F.col("place") < F.lit(place)))
+    return F.when(left, _route(node.left, leaf)).otherwise(_route(node.right, leaf))
 
 
 def _open(node: Node) -> list[Node]:
@@ -52,51 +60,80 @@ def _open(node: Node) -> list[Node]:
     return _open(node.left) + _open(node.right)
 
 
-def build_tree(points: DataFrame, shards: int, tolerance: float) -> Node:
-    """The tree over rows (k0, k1, k2 long, size long). A cut's share of the bytes is off by at most ``tolerance``
-    times the bytes of a shard, or by the rows that share one key."""
+def spread(hist: dict[int, int], position: dict[int, float]) -> float:
+    """The standard deviation of the bytes of ``hist`` (by code) over the positions of the codes."""
+    total = sum(hist.values())
+    mean = sum(b * position[c] for c, b in hist.items()) / total
+    return (sum(b * (position[c] - mean) ** 2 for c, b in hist.items()) / total) ** 0.5
+
+
+def positions(hist: dict[int, int]) -> dict[int, float]:
+    """The share of all bytes below the middle of each code."""
+    out, below, total = {}, 0, sum(hist.values())
+    for c, b in sorted(hist.items()):
+        out[c] = (below + b / 2) / total
+        below += b
+    return out
+
+
+def median(hist: dict[int, int], goal: float, before: int) -> tuple[int, int, int]:
+    """(the key at which the bytes reach ``goal``, the bytes before it, its own)."""
+    for key, b in sorted(hist.items()):
+        if before + b >= goal:
+            break
+        before += b
+    return (key, before, b) if before + b >= goal else (key, before - b, b)
+
+
+def build_tree(points: DataFrame, shards: int, slack: float) -> Node:
+    """The tree over points (c0, c1, c2 int, place long, bytes long). A cut is off by at most ``slack`` bytes, or by the
+    bytes of one point."""
     root, count = Node(shards, 0, 0), 1
     dims = range(len(DIMENSIONS))
+    position: list[dict[int, float]] = []
     while todo := _open(root):
-        at = points.withColumn("node", _route(root, leaf=False))
-        low, high = ([f(f"k{d}").alias(f"{n}{d}") for d in dims] for n, f in (("lo", F.min), ("hi", F.max)))
-        seen = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("bytes"), *low, *high).collect()}
-        reach: dict[int, list] = {}  # node: first key, last key, bytes before the first key
+        at = points.withColumn("node", _route(root, leaf=False)).where("node >= 0")
+        each = at.select("node", "bytes", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(f"c{d}").alias("c")) for d in dims))).alias("x"))
+        hist: dict[tuple[int, int], dict[int, int]] = {}
+        for r in each.groupBy("node", F.col("x.d").alias("d"), F.col("x.c").alias("c")).agg(F.sum("bytes").alias("bytes")).collect():
+            hist.setdefault((r["node"], r["d"]), {})[r["c"]] = r["bytes"]
+        if not position and hist:
+            position = [positions(hist[0, d]) for d in dims]
+        nodes = {n.number: n for n in todo}
+        goals: dict[int, float] = {}
+        reach: dict[int, tuple[int, int, int]] = {}  # node: first place, last place, bytes before the first
         for node in todo:
-            r = seen.get(node.number)
-            if r is None:  # a node without rows
-                node.dimension, node.cut = 0, 0
+            if (node.number, 0) not in hist:  # a node without points
+                node.dimension, node.cut = 0, (0, 0)
                 continue
-            node.dimension = max(dims, key=lambda d, r=r: (r[f"hi{d}"] - r[f"lo{d}"], -d))
-            reach[node.number] = [r[f"lo{node.dimension}"], r[f"hi{node.dimension}"], 0]
-        nodes = {n.number: n for n in todo}
+            node.dimension = max(dims, key=lambda d, n=node.number: (spread(hist[n, d], position[d]), -d))
+            own = hist[node.number, node.dimension]
+            goals[node.number] = goal = sum(own.values()) * (node.shards // 2) / node.shards
+            code, before, inside = median(own, goal, 0)
+            if goal - before <= slack or before + inside - goal <= slack:
+                node.cut = (code, 0) if goal - before <= before + inside - goal else (code + 1, 0)
+            else:
+                node.cut = (code, 0)
+                reach[node.number] = 0, (1 << PLACE_BITS) - 1, before
         while reach:
-            key, base, width = (F.lit(None).cast("long"),) * 3
+            first, width = (F.lit(None).cast("long"),) * 2
             widths = {}
-            for number, (a, b, _) in reach.items():
-                widths[number] = max(1, -(-(b - a + 1) // BINS))
-                mine = F.col("node") == number
-                k = F.col(f"k{nodes[number].dimension}")
-                key = F.when(mine & (k >= a) & (k <= b), k).otherwise(key)
-                base, width = F.when(mine, F.lit(a)).otherwise(base), F.when(mine, F.lit(widths[number])).otherwise(width)
-            hist = at.select("node", "size", key.alias("key"), base.alias("base"), width.alias("width")).where("key IS NOT NULL")
-            hist = hist.groupBy("node", F.expr("(key - base) div width").alias("bin")).agg(F.sum("size").alias("bytes")).collect()
-            bins: dict[int, list] = {}
-            for r in hist:
-                bins.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
-            for number, (a, _, before) in list(reach.items()):
-                node, total = nodes[number], seen[number]["bytes"]
-                goal, slack = total * (node.shards // 2) / node.shards, tolerance * total / node.shards
-                for b, size in sorted(bins[number]):
-                    if before + size >= goal:
-                        break
-                    before += size
-                start = a + b * widths[number]
-                if min(goal - before, before + size - goal) > slack and widths[number] > 1:
-                    reach[number] = [start, start + widths[number] - 1, before]
+            for n, (a, b, _) in reach.items():
+                widths[n] = -(-(b - a + 1) // BINS)
+                inside_ = (F.col("node") == n) & (F.col(f"c{nodes[n].dimension}") == nodes[n].cut[0]) & F.col("place").between(a, b)
+                first, width = F.when(inside_, F.lit(a)).otherwise(first), F.when(inside_, F.lit(widths[n])).otherwise(width)
+            bins: dict[int, dict[int, int]] = {}
+            near = at.select("node", "bytes", "place", first.alias("first"), width.alias("width")).where("first IS NOT NULL")
+            for r in near.groupBy("node", F.expr("(place - first) div width").alias("bin")).agg(F.sum("bytes").alias("bytes")).collect():
+                bins.setdefault(r["node"], {})[r["bin"]] = r["bytes"]
+            for n, (a, _, before) in list(reach.items()):
+                bin_, before, inside = median(bins[n], goals[n], before)
+                start, low, high = a + bin_ * widths[n], goals[n] - before, before + inside - goals[n]
+                if min(low, high) > slack and widths[n] > 1:
+                    reach[n] = start, start + widths[n] - 1, before
                     continue
-                node.cut = start if goal - before <= before + size - goal else start + widths[number]
-                del reach[number]
+                nodes[n].cut = nodes[n].cut[0], start if low <= high else start + widths[n]
+                del reach[n]
         for node in todo:
             half = node.shards // 2
             node.left, node.right = Node(half, node.first, count), Node(node.shards - half, node.first + half, count + 1)
@@ -104,28 +141,56 @@ def build_tree(points: DataFrame, shards: int, tolerance: float) -> Node:
     return root
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, *, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tolerance: float = 0.0005) -> DataFrame:
+def sliced(points: DataFrame, slack: float) -> tuple[DataFrame, DataFrame]:
+    """(the rows with the ``slice`` of their group; the points of the tree: h, slice, c0, c1, c2, place, bytes).
+
+    ``points``: doc_id, uid, size, h (hash of the text), lang, source. A group of more than ``slack`` bytes is laid out
+    in slices of about so many, by a hash of the id; a slice of four times as many, as of one repeated id, in parts, by
+    a hash of the row number ``uid``. The tables of both hold at most one row for each ``slack`` bytes of the input.
+    """
+    most = (1 << SLICE_BITS) - 1
+    pieces = lambda b: F.least(F.lit(most), F.ceil(F.col(b) / F.lit(slack))).cast("long")
+    codes = [c.alias(f"c{i}") for i, c in enumerate(_codes(F.col("size"), F.col("lang"), F.col("source")))]
+    groups = points.groupBy("h").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("size").alias("size"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    groups = saved(groups.select("h", "n", "bytes", *codes), "groups")
+    large = (F.col("n") > 1) & (F.col("bytes") > F.lit(slack))
+    wide = F.broadcast(groups.where(large).select(F.col("h").alias("wh"), pieces("bytes").alias("m"), "c0", "c1", "c2"))
+    cut = points.join(wide, F.col("h") == F.col("wh"), "left").withColumn("p", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("m")), F.lit(0)))
+    heavy = cut.where("m IS NOT NULL").groupBy("h", "p").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > F.lit(4 * slack)))
+    heavy = F.broadcast(saved(heavy.select(F.col("h").alias("hh"), F.col("p").alias("hp"), pieces("bytes").alias("m2")), "heavy"))
+    cut = cut.join(heavy, (F.col("h") == F.col("hh")) & (F.col("p") == F.col("hp")), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("uid"), F.col("m2")), F.lit(0))
+    rows = cut.withColumn("slice", F.shiftleft(F.col("p"), SLICE_BITS) + part)
+    parts = rows.where("m IS NOT NULL").groupBy("h", "slice", "c0", "c1", "c2").agg(F.sum("size").alias("bytes"))
+    whole = groups.where(~large).select("h", F.lit(0).cast("long").alias("slice"), "c0", "c1", "c2", "bytes")
+    place = F.shiftleft(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << PLACE_BITS - 2 * SLICE_BITS)), 2 * SLICE_BITS) + F.col("slice")
+    return rows.select(*points.columns, "slice"), saved(whole.unionByName(parts).withColumn("place", place), "points")
+
+
+def kd_shards(docs: DataFrame, shards: int | None = None, *, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tolerance: float = 0.001) -> DataFrame:
     """Puts every row into one of ``shards`` shards of nearly equal bytes (or of about ``target_bytes`` each).
 
     Returns doc_id, size long (UTF-8 bytes of the text plus 16), text_crc32 long, law 'bytes', shard int, slot long
-    (0, 1, ... in the shard). Copies of a text share a shard unless a cut falls into their group, which happens to at
-    most ``shards - 1`` groups.
+    (0, 1, ... in the shard). Copies of a text, whatever their language and source, share a shard unless a cut falls
+    into their group, which happens to at most ``shards - 1`` groups. ``tolerance``: how far a cut may be off, as a share
+    of a shard.
 
-    Defined results: a null text has no bytes and a null checksum; null languages and sources are categories; rows
-    that repeat an id stay, with slots of their own; an empty table gives an empty result; other columns are ignored.
+    Defined results: a null text has no bytes and a null checksum, and all null texts are one group; null languages and
+    sources are categories; rows that repeat an id or are all alike stay, with slots of their own, and are spread like
+    others; an empty table gives an empty result; other columns are ignored.
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give either shards or target_bytes")
     t = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    codes = _codes(F.col("size"), F.col("lang"), F.col("source"))
-    low = KEY_BITS - CODE_BITS
-    tail = F.shiftleft(F.pmod("h", F.lit(1 << (low - 16))), 16) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))
-    keys = [(F.shiftleft(codes[d], low) + tail).alias(f"k{i}") for i, d in enumerate(DIMENSIONS)]
-    points = saved(rows.select("doc_id", "size", "text_crc32", *keys), "points")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    rows = saved(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    total = rows.agg(F.sum("size")).first()[0] or 0
     if shards is None:
-        total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    tree = build_tree(points.drop("doc_id", "text_crc32"), shards, tolerance)
-    placed = points.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), _route(tree, leaf=True).cast("int").alias("shard"))
-    return numbered(placed, "shard", ["doc_id", "text_crc32"], "slot")
+    # at least a millionth of the input: the tables of slices stay that small for any number of shards
+    slack = max(1.0, tolerance * total / shards, total / 1e6)
+    keyed, points = sliced(rows, slack)
+    tree = build_tree(points, shards, slack)
+    homes = points.select("h", "slice", _route(tree, leaf=True).cast("int").alias("shard"))
+    placed = keyed.join(homes, ["h", "slice"]).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "uid")
+    return numbered(placed, "shard", ["uid"], "slot").drop("uid")

@@ -51,14 +51,77 @@ def test_shards_are_even_and_slots_gapless(skewed):
 def test_copies_share_a_shard_unless_cut(spark):
     rng = random.Random(2)
     groups = [sentence(rng, 20) for _ in range(100)]
-    df = spark.createDataFrame(rows_of([g for g in groups for _ in range(5)]), DOCS)
-    rows = kd_sharding.kd_shards(df.withColumn("source", F.lit("s")), 6).collect()
+    df = spark.createDataFrame([(i, g, rng.choice(["en", "de", "fr"]), f"s{rng.randrange(20)}", 0) for i, g in enumerate(g for g in groups for _ in range(5))], DOCS)
+    rows = kd_sharding.kd_shards(df, 6).collect()
     found = defaultdict(set)
     for r in rows:
         found[r["text_crc32"]].add(r["shard"])
     assert sum(len(s) > 1 for s in found.values()) <= 5
 
 
+def test_copies_of_the_table_share_a_shard(spark):
+    rows = queries()["op5_kd_sharding"](spark, "/root/testdata/sf0.1").collect()
+    found, size = defaultdict(set), Counter()
+    for r in rows:
+        found[r["text_crc32"]].add(r["shard"])
+        size[r["shard"]] += r["size"]
+    assert len(rows) == 10_000 and sum(len(s) > 1 for s in found.values()) <= 39
+    assert max(size.values()) - min(size.values()) <= max(0.02 * sum(size.values()) / 40, max(r["size"] for r in rows))
+
+
+def test_equal_rows_are_spread(spark):
+    rng = random.Random(3)
+    text = sentence(rng, 12)
+    rows = [(7, text, "en", "s", 0)] * 4000 + [(i, sentence(rng, 12), "en", "s", 0) for i in range(10, 1010)]
+    got = kd_sharding.kd_shards(spark.createDataFrame(rows, DOCS).repartition(5), 40).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 5000 and len(size) == 40 and max(size.values()) - min(size.values()) <= 0.1 * sum(size.values()) / 40
+
+
+def plain_tree(points, shards, position):
+    """A k-d tree by sorting: points (key, codes, place, bytes) to {key: shard}."""
+    if shards == 1 or not points:
+        return {p[0]: 0 for p in points}
+
+    def width(d):
+        total = sum(p[3] for p in points)
+        mean = sum(p[3] * position[d][p[1][d]] for p in points) / total
+        return sum(p[3] * (position[d][p[1][d]] - mean) ** 2 for p in points) / total
+
+    d = max(range(3), key=lambda d: (round(width(d), 12), -d))
+    points = sorted(points, key=lambda p: (p[1][d], p[2]))
+    goal, before, at = sum(p[3] for p in points) * (shards // 2) / shards, 0, 0
+    while at < len(points):
+        own = [p for p in points[at:] if (p[1][d], p[2]) == (points[at][1][d], points[at][2])]
+        if before + sum(p[3] for p in own) >= goal:
+            if before + sum(p[3] for p in own) - goal < goal - before:
+                at += len(own)
+            break
+        before, at = before + sum(p[3] for p in own), at + len(own)
+    left, right = plain_tree(points[:at], shards // 2, position), plain_tree(points[at:], shards - shards // 2, position)
+    return left | {k: s + shards // 2 for k, s in right.items()}
+
+
+@pytest.mark.parametrize("shards", [2, 7, 40])
+def test_tree_is_that_of_a_plain_one(spark, skewed, shards):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").unionByName(skewed.select(F.col("doc_id") + 10_000, "text", "lang", "source").toDF("doc_id", "text", "lang", "source"))
+    rows = rows.select("doc_id", F.col("doc_id").alias("uid"), (F.octet_length("text") + 16).cast("long").alias("size"), F.xxhash64("text").alias("h"), "lang", "source")
+    _, points = kd_sharding.sliced(rows, 2000.0)
+    plain = [((r["h"], r["slice"]), (r["c0"], r["c1"], r["c2"]), r["place"], r["bytes"]) for r in points.collect()]
+    position = []
+    for d in range(3):
+        total, below, out = sum(p[3] for p in plain), 0, {}
+        for c in sorted({p[1][d] for p in plain}):
+            own = sum(p[3] for p in plain if p[1][d] == c)
+            out[c], below = (below + own / 2) / total, below + own
+        position.append(out)
+    tree = kd_sharding.build_tree(points, shards, 1e-6)
+    got = {(r["h"], r["slice"]): r["shard"] for r in points.select("h", "slice", kd_sharding._route(tree, leaf=True).alias("shard")).collect()}
+    assert got == plain_tree(plain, shards, position) and set(got.values()) == set(range(shards))
+
+
 def test_sharding_is_the_same_for_any_order_and_takes_target_bytes(skewed):
     a = {r["doc_id"]: r["shard"] for r in kd_sharding.kd_shards(skewed, 5).collect()}
     assert a == {r["doc_id"]: r["shard"] for r in kd_sharding.kd_shards(skewed.orderBy(F.desc("doc_id")).repartition(2), 5).collect()}
