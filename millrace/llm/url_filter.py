@@ -63,7 +63,8 @@ def mine_rules(urls: DataFrame, *, min_support: float = 0.002, min_confidence: f
     """Rules of labelled URLs (url string, bad int): items array, confidence, lift, support, filed_under.
 
     Support is a share of the labelled URLs, and at least ``least_pages`` of them. A rule is dropped if it is a longer
-    form of a one-token rule of no less confidence. No labelled or no bad URLs give no rules.
+    form of a one-token rule of no less confidence. Null URLs and labels, and URLs without tokens, are left out; a URL
+    that repeats counts each time. No labelled or no bad URLs give no rules.
     """
     bags = saved(urls.where("url IS NOT NULL AND bad IS NOT NULL").select(url_tokens(F.col("url")).alias("items"), "bad").where("size(items) > 0"), "bags")
     schema = "items array<string>, confidence double, lift double, support double, filed_under string"
@@ -95,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: list[ListedRule], mined: DataFrame, *,
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     asked = rows.select("url").where("url IS NOT NULL").distinct().withColumn("tokens", url_tokens(F.col("url")))
     asked = asked.withColumn("filed_under", F.explode("tokens")).join(mined, "filed_under").where(F.size(F.array_except("items", "tokens")) == 0)
-    best = asked.groupBy(F.col("url").alias("__url")).agg(F.max_by(F.struct("items", "confidence"), F.struct("confidence", "support", F.transform("items", lambda x: x))).alias("m"))
+    surest = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), "items")
+    best = asked.groupBy(F.col("url").alias("__url")).agg(F.min_by(F.struct("items", "confidence"), surest).alias("m"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     out = rows.join(best, rows["url"] == best["__url"], "left").withColumn("host", host).withColumn("path", path)

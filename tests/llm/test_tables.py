@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import kd_sharding, mixing, packing, quality_rules, url_filter
+from millrace.llm import kd_sharding, mixing, packing, quality_rules, sql, url_filter
 from millrace.llm.chat_format import ChatTemplate, RoleStyle, format_chats, read_back
 from millrace.llm.common import numbered
 from millrace.llm.queries import LISTED, oracle_sql, queries
@@ -177,6 +177,36 @@ def test_packing(skewed):
         assert full == list(range(len(full))) and all(len(batches[b, i]) == room for i in full[:-1])
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_packing_query_against_a_plain_loop(spark, sf):
+    sf = f"/root/testdata/sf{sf}"
+    docs = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries()["op6_length_packing"](spark, sf).collect()}
+    assert {i: r["n_tokens"] for i, r in rows.items()} == docs
+    hist = Counter(max(1, -(-n // 8)) * 8 for n in docs.values())
+    lengths = sorted(hist)
+    assert lengths[-1] <= 32768
+    # least total length with k buckets for the first j lengths, by trying every last boundary
+    least = [0] + [float("inf")] * len(lengths)
+    for _ in range(16):
+        new = [0] + [float("inf")] * len(lengths)
+        for j in range(1, len(lengths) + 1):
+            n = 0
+            for i in range(j - 1, -1, -1):
+                n += hist[lengths[i]]
+                new[j] = min(new[j], least[i] + n * lengths[j - 1])
+        least = [min(a, b) for a, b in zip(least, new, strict=True)]
+    assert sum(r["padded"] for r in rows.values()) == least[-1]
+    ends = sorted({r["padded"] for r in rows.values()})
+    found = defaultdict(list)
+    for i, r in rows.items():
+        assert r["padded"] == min(e for e in ends if e >= docs[i]) and r["bucket"] == ends.index(r["padded"])
+        found[r["bucket"], r["batch"]].append(r["place"])
+    for b, end in enumerate(ends):
+        room, n = 32768 // end, sum(r["bucket"] == b for r in rows.values())
+        assert [sorted(found[b, k]) for k in range(-(-n // room))] == [list(range(min(room, n - k * room))) for k in range(-(-n // room))]
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     rows = packing.pack(odd_docs).collect()
     assert len(rows) == 11 and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0} and any(r["bucket"] == -1 for r in rows)
@@ -353,6 +383,64 @@ def test_mined_rules(spark):
     assert url_filter.mine_rules(df.where("false")).collect() == []
 
 
+def plain_rules(bags, least, confidence, lift):
+    """Association rules of (tokens, bad) by counting every combination."""
+    import itertools
+
+    both, alone = Counter(), Counter()
+    for tokens, bad in bags:
+        for k in range(1, len(tokens) + 1):
+            for items in itertools.combinations(sorted(tokens), k):
+                alone[items] += 1
+                both[items] += bad
+    share = sum(bad for _, bad in bags) / len(bags)
+    found = {i: (n / alone[i], n / alone[i] / share, n / len(bags)) for i, n in both.items() if n >= least and n / alone[i] >= confidence and n / alone[i] / share >= lift}
+    return {i: x for i, x in found.items() if len(i) == 1 or not any((t,) in found and found[t,][0] >= x[0] for t in i)}
+
+
+def test_mined_rules_against_every_combination(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        host, folder, key = rng.choice(["pills", "news", "blog"]), rng.choice(["buy", "read", "cheap"]), rng.choice(["utm", "id", "ref"])
+        rows.append((i, f"https://{host}.site.org/{folder}/{i}?{key}={i}", int(rng.random() < {"pills": 0.5, "news": 0.1, "blog": 0.2}[host] + 0.4 * (folder == "buy") + 0.1 * (key == "id"))))
+    rows += [(500, None, 1), (501, "https://pills.site.org/buy", None), (502, "none", 1), (503, "https://pills.site.org/" + "buy/" * 5000, 1)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, bad int, items string, confidence string")
+    bags = [(r["t"], r["bad"]) for r in df.where("url IS NOT NULL AND bad IS NOT NULL").select(url_filter.url_tokens(F.col("url")).alias("t"), "bad").collect() if r["t"]]
+    for confidence, lift in ((0.3, 1.0), (0.6, 1.5)):
+        want = plain_rules(bags, 10, confidence, lift)
+        got = url_filter.mine_rules(df, min_confidence=confidence, min_lift=lift).collect()
+        assert len(got) == len(want) > 0
+        for r in got:
+            assert (r["confidence"], r["lift"], r["support"]) == pytest.approx(want[tuple(r["items"])])
+            assert r["filed_under"] == min(r["items"], key=lambda t: (sum(t in own for own, _ in bags), t))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_mining_of_the_query_against_sql(spark, sf):
+    """Thresholds that the tables' rules do reach, on both sides; the registered ones leave no rule there."""
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf{sf}/{t}.parquet'")
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("pages", "labels"))
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).cast("int").alias("bad"))
+    mined = url_filter.mine_rules(pages.join(bad, "page_id").select("url", "bad"), min_confidence=0.25, min_lift=1.0)
+    df = url_filter.filter_urls(pages, LISTED, mined)
+    cols = sorted(df.columns)
+    got = sorted(map(tuple, df.select(*cols).collect()), key=repr)
+    assert any(r[cols.index("mined_rule")] for r in got)
+    assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({sql._op7(min_confidence=0.25, min_lift=1.0)})").fetchall(), key=repr)
+
+
+def test_urls_odd_rows(spark):
+    rules = spark.createDataFrame([(["h:zz"], 0.9, 2.0, 0.1, "h:zz"), (["h:aa"], 0.9, 2.0, 0.1, "h:aa"), (["h:bb"], 0.9, 2.0, 0.2, "h:bb")], "items array<string>, confidence double, lift double, support double, filed_under string")
+    urls = [(1, "https://aa.zz/"), (1, "https://aa.zz/"), (None, "https://zz/"), (2, None), (3, "https://aa.zz.bb/" + "x/" * 100_000), (4, "")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in urls], "page_id long, url string, host string, rule string, tokens string")
+    got = sorted(((r["page_id"], r["mined_rule"], r["verdict"]) for r in url_filter.filter_urls(df, [], rules).collect()), key=repr)
+    # equally sure rules: the one with more support, then the first by name
+    assert got == sorted([(1, "h:aa", "block"), (1, "h:aa", "block"), (None, "h:zz", "block"), (2, None, "allow"), (3, "h:bb", "block"), (4, None, "allow")], key=repr)
+
+
 # chats
 
 
@@ -414,7 +502,7 @@ def test_escaping_is_reversible(text):
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     cols = sorted(df.columns)
