@@ -254,8 +254,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
     those of another dimension than most; a row with a null id is returned with null component and kept; equal vectors
-    link with each other; rows that repeat an id are judged each by its own vector; an empty table gives an empty
-    result; other columns are ignored.
+    link with each other; rows that repeat an id are judged each by its own vector, and only that vector's links make
+    its component; an empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -266,7 +266,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
     if sizes is None:
         return keyed.select("vec_id", *none, F.lit(True).alias("kept"))
     fit = (F.col("vec_id").isNotNull()) & (F.length("unit") == sizes["bytes"])
-    reps = saved(keyed.where(fit).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("unit", "vec_id").alias("unit")), "vectors")
+    reps = saved(keyed.where(fit).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("unit", "vec_id").alias("unit")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     n, dims = reps.count(), sizes["bytes"] // 8
     chosen = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit")  # at most ``sample`` rows
     index = ProductIndex(matrix([bytes(r[0]) for r in chosen.toLocalIterator()], dims), lists or max(1, min(sample // 8, int(2 * math.sqrt(n)))), subspaces, cosine, slack, seed)
@@ -282,15 +282,18 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
 
     counted = reps.select("unit").mapInArrow(count_lists, "list long, members long, askers long").groupBy("list").agg(F.sum("members").alias("m"), F.sum("askers").alias("q"))
     blocks = {r["list"]: (-(-r["m"] // block), max(1, -(-r["q"] // (8 * block)))) for r in counted.collect() if r["m"]}  # as many rows as lists
-    dealt = reps.select("rep", "copies", "unit").mapInArrow(_deal(index, blocks), UNITS)
+    dealt = reps.select("node", "copies", "unit").mapInArrow(_deal(index, blocks), UNITS)
     dealt = dealt.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "kind")
     found = saved(dealt.mapInArrow(_search(index), "a long, b long, links long"), "links")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("others"))
     comp = components(found.where("b IS NOT NULL").select("a", "b"))
 
-    by_key = reps.select("key", "rep", "copies")
-    facts = by_key.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    facts = facts.select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    # nodes are distinct vectors, numbered as they are stored: ids may repeat
+    nodes = reps.select("key", "node", "rep", "copies")
+    facts = nodes.join(links.withColumnRenamed("a", "node"), "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left")
+    facts = saved(facts.select("key", "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), "component"), "facts")
+    least = facts.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("c"))
+    facts = facts.join(least, "component", "left").select("key", "n", F.coalesce("c", "rep").alias("c"))
     out = keyed.select("vec_id", F.when(fit, F.col("key")).alias("key")).join(facts, "key", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("vec_id", id_col)

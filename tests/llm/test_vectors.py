@@ -6,8 +6,6 @@ import pytest
 from millrace.llm import embedding_dedup as ed
 from millrace.llm.queries import queries
 
-from llm_helpers import SF
-
 
 def brute(ids, vectors, cosine=0.95):
     """Links and components by all pairs, in double precision."""
@@ -60,6 +58,13 @@ def test_both_ends_count_a_link_across_lists(spark):
     assert got == brute(list(range(len(rows))), rows)[0]
 
 
+def test_repeated_ids_are_judged_by_their_own_vector(spark):
+    rows = [(9, [1.0, 0.0, 0.0]), (9, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.02, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ed.near_duplicate_vectors(df).collect())
+    assert got == [(2, 1, 2, True), (3, 1, 3, True), (5, 1, 5, True), (5, 1, 5, True), (9, 1, 2, False), (9, 1, 3, False)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0]), (10, [1e200, 2e200]), (11, [1e-200, 2e-200])]
@@ -85,8 +90,10 @@ def test_table_distances_bound_the_true_ones():
     assert all(own[j] in asks[i] for i, j in zip(*np.nonzero(near), strict=True))
 
 
-def test_query(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_query(spark, sf):
+    sf = f"/root/testdata/sf{sf}"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     links, comp = brute([r["vec_id"] for r in rows], [r["embedding"] for r in rows])
-    got = queries()["op4_embedding_dedup"](spark, SF).collect()
+    got = queries()["op4_embedding_dedup"](spark, sf).collect()
     assert {r["vec_id"]: r["n_links"] for r in got} == links and {r["vec_id"]: r["component_id"] for r in got} == comp
