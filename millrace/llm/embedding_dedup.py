@@ -1,7 +1,8 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors go to the inverted list of their nearest coarse centroid; their residuals are coded by subspace. A vector
-then asks every list that may hold a near one: the lists whose bisecting plane with its own list is close enough.
+then asks the lists that may hold a near one, those whose bisecting plane with its own list is close enough: of these the
+nearest ``probes``, or all for an exact search.
 There, distances come from per-query lookup tables over the codes; the coding error of a member bounds how far off
 they are, so no near member is lost; what remains is decided by exact cosines in double precision.
 
@@ -74,10 +75,10 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class ProductIndex:
     """Coarse centroids, subspace codebooks and the reach of a search."""
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int, cosine: float, slack: float, seed: int):
+    def __init__(self, sample: np.ndarray, lists: int, subspaces: int, cosine: float, slack: float, seed: int, probes: int | None = None):
         self.dims = sample.shape[1]
         self.cosine, self.radius = cosine, math.sqrt(2 - 2 * cosine)
-        self.reach = slack * self.radius
+        self.reach, self.probes = slack * self.radius, probes
         self.centroids = kmeans(sample, lists, 8, seed)
         c = self.centroids
         self.gaps = np.sqrt(np.maximum(squares(c, c), 1e-12))
@@ -91,7 +92,10 @@ class ProductIndex:
         own = d.argmin(1)
         plane = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
         plane[np.arange(len(x)), own] = -1
-        return own, plane <= self.reach
+        asks = plane <= self.reach
+        if self.probes and self.probes < plane.shape[1]:
+            asks &= plane <= np.partition(plane, self.probes - 1, axis=1)[:, self.probes - 1 : self.probes]
+        return own, asks
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """The list of each vector, its codes, its coding error, and the lists it has to ask (its own first)."""
@@ -242,14 +246,15 @@ def _search(index: ProductIndex):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample: int = 20_000, lists: int | None = None, subspaces: int = 16, slack: float = 0.5, block: int = 2048, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample: int = 20_000, lists: int | None = None, subspaces: int = 16, slack: float = 0.5, probes: int | None = 8, block: int = 2048, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links vectors of cosine ``cosine`` or more: vec_id, n_links long (other vectors linked directly), component_id
     long (smallest id reachable by links), kept boolean (vec_id = component_id).
 
     The index is fitted on at most ``sample`` distinct vectors, chosen by a hash; every vector is indexed and asks.
     ``lists``: coarse centroids (default 2 sqrt(n), at most an eighth of the sample: raise the sample with the table). ``slack``: lists are asked up to this share of the
-    search radius behind the bisecting plane. 0.5 or more finds every link: of two linked vectors one at least asks
-    the other's list, and it counts for both if the other doesn't ask.
+    search radius behind the bisecting plane, its own and the ``probes`` - 1 nearest of them, so that the work of a
+    vector doesn't grow with the number of lists. Without a limit (None) a slack of 0.5 or more finds every link: of two
+    linked vectors one at least asks the other's list, and it counts for both if the other doesn't ask.
     ``block``: members, and askers by eight, of one unit of work.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
@@ -269,7 +274,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
     reps = saved(keyed.where(fit).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("unit", "vec_id").alias("unit")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     n, dims = reps.count(), sizes["bytes"] // 8
     chosen = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit")  # at most ``sample`` rows
-    index = ProductIndex(matrix([bytes(r[0]) for r in chosen.toLocalIterator()], dims), lists or max(1, min(sample // 8, int(2 * math.sqrt(n)))), subspaces, cosine, slack, seed)
+    index = ProductIndex(matrix([bytes(r[0]) for r in chosen.toLocalIterator()], dims), lists or max(1, min(sample // 8, int(2 * math.sqrt(n)))), subspaces, cosine, slack, seed, probes)
 
     def count_lists(batches):
         members, askers = (np.zeros(len(index.centroids), np.int64) for _ in range(2))

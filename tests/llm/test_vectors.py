@@ -35,7 +35,7 @@ def made(seed, dims=24, n=300):
 def test_every_link_with_full_slack(spark, block):
     rows = made(1)
     df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(5)
-    got = ed.near_duplicate_vectors(df, slack=1.0, block=block, subspaces=6).collect()
+    got = ed.near_duplicate_vectors(df, slack=1.0, probes=None, block=block, subspaces=6).collect()
     links, comp = brute(list(range(len(rows))), rows)
     assert {r["vec_id"]: r["n_links"] for r in got} == links
     assert {r["vec_id"]: r["component_id"] for r in got} == comp
@@ -65,6 +65,17 @@ def test_repeated_ids_are_judged_by_their_own_vector(spark):
     assert got == [(2, 1, 2, True), (3, 1, 3, True), (5, 1, 5, True), (5, 1, 5, True), (9, 1, 2, False), (9, 1, 3, False)]
 
 
+def test_work_of_a_vector_does_not_grow_with_the_lists():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for lists in (5, 60, 240):
+        own, asks = ed.ProductIndex(x, lists, 8, 0.95, 0.5, 1, 8).asked(x)
+        assert asks.sum(1).max() <= 8 and asks[np.arange(len(x)), own].all()
+        everything = ed.ProductIndex(x, lists, 8, 0.95, 0.5, 1).asked(x)[1]
+        assert (everything >= asks).all() and (lists > 5) == bool((everything > asks).any())
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0]), (10, [1e200, 2e200]), (11, [1e-200, 2e-200])]
