@@ -62,6 +62,13 @@ def bucket_of(n: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
+def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of numbers, written into the plan; null in every column if there are no rows."""
+    cell = lambda x: "NULL" if x is None else f"{x!r}D" if isinstance(x, float) else f"{x!r}L"
+    rows = rows or [(None,) * len(columns.split(", "))]
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({columns})"))
+
+
 def numbered(df: DataFrame, group: str, order: list[str], out: str, buckets: int = 64) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... without gaps inside each ``group``.
 

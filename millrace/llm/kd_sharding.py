@@ -8,8 +8,8 @@ that holds any share of the rows can be cut, and copies of a text are neighbours
 little of a shard's bytes is laid out as slices, by hashes of its ids, so that a cut can fall inside it, too.
 
 All nodes of a level are treated together, in two jobs as a rule: the bytes of each code, then the bytes over the hashes
-of the median's code. Only these histograms reach the driver: at most ``3 * CODES``, then ``BINS``, rows for each of the
-at most ``shards`` nodes, whatever the input.
+of the median's code. Only these histograms reach the driver: at most ``3 * CODES`` rows for each of the at most
+``shards`` nodes, then ``BINS`` rows in all (or two a node, if these are more), whatever the input.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, saved
+from .common import inline, numbered, saved
 
-CODES, BINS = 1024, 4096
+#: Codes of a dimension, and bins of the hashes for all nodes of a level together.
+CODES, BINS = 1024, 1 << 17
 #: A place in a code's order: 32 bits of a hash of the text, then 15 of the slice and 15 of its part.
 PLACE_BITS, SLICE_BITS = 62, 15
 DIMENSIONS = ("lang", "source", "size_class")
@@ -44,20 +45,26 @@ def _codes(size: Column, lang: Column, source: Column) -> list[Column]:
     return [category(lang), category(source), F.least(F.lit(CODES - 1), F.floor(F.log2(size) * (CODES // 32))).cast("int")]
 
 
-def _route(node: Node, leaf: bool) -> Column:
-    """The shard of a point, or the number of the open node that it belongs to (-1: none), as one expression."""
-    if node.left is None:
-        return F.lit(node.first if leaf else node.number if node.shards > 1 else -1)
-    code, place = node.cut
-    c = F.col(f"c{node.dimension}")
-    left = (c < F.lit(code)) | ((c == F.lit(code)) & (F.col("place") < F.lit(place)))
-    return F.when(left, _route(node.left, leaf)).otherwise(_route(node.right, leaf))
+def _step(at: DataFrame, nodes: list[Node], how: str) -> DataFrame:
+    """The points of the next level: each goes to the left or right child of its node. An inner join drops the points of
+    nodes that aren't given, a left join keeps them where they are."""
+    table = inline(at.sparkSession, [(n.number, n.dimension, *n.cut, n.left.number, n.right.number) for n in nodes], "__n, __d, __code, __place, __left, __right")
+    code = F.element_at(F.array(*(f"c{d}" for d in range(len(DIMENSIONS)))), F.col("__d").cast("int") + 1)
+    left = (code < F.col("__code")) | ((code == F.col("__code")) & (F.col("place") < F.col("__place")))
+    child = F.when(F.col("__n").isNull(), F.col("node")).when(left, F.col("__left")).otherwise(F.col("__right"))
+    return at.join(table, F.col("node") == F.col("__n"), how).withColumn("node", child).select(*at.columns)
 
 
-def _open(node: Node) -> list[Node]:
-    if node.left is None:
-        return [node] if node.shards > 1 else []
-    return _open(node.left) + _open(node.right)
+def place_points(points: DataFrame, root: Node) -> DataFrame:
+    """``points`` with their ``shard``."""
+    at, level, leaves = points.withColumn("node", F.lit(0).cast("long")), [root], []
+    while level:
+        split = [n for n in level if n.left]
+        leaves += [(n.number, n.first) for n in level if not n.left]
+        at = _step(at, split, "left") if split else at
+        level = [c for n in split for c in (n.left, n.right)]
+    homes = inline(points.sparkSession, leaves, "__n, shard")
+    return at.join(homes, F.col("node") == F.col("__n")).select(*points.columns, F.col("shard").cast("int"))
 
 
 def spread(hist: dict[int, int], position: dict[int, float]) -> float:
@@ -91,8 +98,8 @@ def build_tree(points: DataFrame, shards: int, slack: float) -> Node:
     root, count = Node(shards, 0, 0), 1
     dims = range(len(DIMENSIONS))
     position: list[dict[int, float]] = []
-    while todo := _open(root):
-        at = points.withColumn("node", _route(root, leaf=False)).where("node >= 0")
+    at, todo = points.select(*(f"c{d}" for d in dims), "place", "bytes", F.lit(0).cast("long").alias("node")), [root] if shards > 1 else []
+    while todo:
         each = at.select("node", "bytes", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(f"c{d}").alias("c")) for d in dims))).alias("x"))
         hist: dict[tuple[int, int], dict[int, int]] = {}
         for r in each.groupBy("node", F.col("x.d").alias("d"), F.col("x.c").alias("c")).agg(F.sum("bytes").alias("bytes")).collect():
@@ -116,14 +123,11 @@ def build_tree(points: DataFrame, shards: int, slack: float) -> Node:
                 node.cut = (code, 0)
                 reach[node.number] = 0, (1 << PLACE_BITS) - 1, before
         while reach:
-            first, width = (F.lit(None).cast("long"),) * 2
-            widths = {}
-            for n, (a, b, _) in reach.items():
-                widths[n] = -(-(b - a + 1) // BINS)
-                inside_ = (F.col("node") == n) & (F.col(f"c{nodes[n].dimension}") == nodes[n].cut[0]) & F.col("place").between(a, b)
-                first, width = F.when(inside_, F.lit(a)).otherwise(first), F.when(inside_, F.lit(widths[n])).otherwise(width)
+            bins_each = max(2, BINS // len(reach))
+            widths = {n: -(-(b - a + 1) // bins_each) for n, (a, b, _) in reach.items()}
+            table = inline(points.sparkSession, [(n, nodes[n].dimension, nodes[n].cut[0], a, b, widths[n]) for n, (a, b, _) in reach.items()], "__n, __d, __code, first, last, width")
+            near = at.join(table, F.col("node") == F.col("__n")).where((F.element_at(F.array(*(f"c{d}" for d in dims)), F.col("__d").cast("int") + 1) == F.col("__code")) & F.col("place").between(F.col("first"), F.col("last")))
             bins: dict[int, dict[int, int]] = {}
-            near = at.select("node", "bytes", "place", first.alias("first"), width.alias("width")).where("first IS NOT NULL")
             for r in near.groupBy("node", F.expr("(place - first) div width").alias("bin")).agg(F.sum("bytes").alias("bytes")).collect():
                 bins.setdefault(r["node"], {})[r["bin"]] = r["bytes"]
             for n, (a, _, before) in list(reach.items()):
@@ -138,6 +142,8 @@ def build_tree(points: DataFrame, shards: int, slack: float) -> Node:
             half = node.shards // 2
             node.left, node.right = Node(half, node.first, count), Node(node.shards - half, node.first + half, count + 1)
             count += 2
+        at = _step(at, todo, "inner")
+        todo = [c for n in todo for c in (n.left, n.right) if c.shards > 1]
     return root
 
 
@@ -191,6 +197,6 @@ def kd_shards(docs: DataFrame, shards: int | None = None, *, target_bytes: int |
     slack = max(1.0, tolerance * total / shards, total / 1e6)
     keyed, points = sliced(rows, slack)
     tree = build_tree(points, shards, slack)
-    homes = points.select("h", "slice", _route(tree, leaf=True).cast("int").alias("shard"))
+    homes = place_points(points, tree).select("h", "slice", "shard")
     placed = keyed.join(homes, ["h", "slice"]).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "uid")
     return numbered(placed, "shard", ["uid"], "slot").drop("uid")

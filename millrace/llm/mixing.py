@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import inline, saved
 
 REST = "*"
 DIMS = ("source", "lang", "topic")
@@ -100,8 +100,7 @@ def _probabilities(rows: DataFrame, goals: list[list[float]], budget_share: floa
     # as many rows as the targets have combinations, at most
     sums = rows.groupBy(*CELL).agg(F.sum("n_tokens").alias("tokens")).collect()
     table = cell_table({(r[0], r[1], r[2]): float(r[3]) for r in sums}, goals, budget_share)
-    values = ", ".join(f"({a}, {b}, {c}, {', '.join(f'{x!r}D' for x in rest)})" for a, b, c, *rest in [*table, (-1, -1, -1, *[0.0] * len(OUT))])
-    return F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join((*CELL, *OUT))})"))
+    return inline(rows.sparkSession, table, ", ".join((*CELL, *OUT)))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget_share: float = 0.9, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", topic_col: str | None = None) -> DataFrame:

@@ -118,7 +118,7 @@ def test_tree_is_that_of_a_plain_one(spark, skewed, shards):
             out[c], below = (below + own / 2) / total, below + own
         position.append(out)
     tree = kd_sharding.build_tree(points, shards, 1e-6)
-    got = {(r["h"], r["slice"]): r["shard"] for r in points.select("h", "slice", kd_sharding._route(tree, leaf=True).alias("shard")).collect()}
+    got = {(r["h"], r["slice"]): r["shard"] for r in kd_sharding.place_points(points, tree).collect()}
     assert got == plain_tree(plain, shards, position) and set(got.values()) == set(range(shards))
 
 
