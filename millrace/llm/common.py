@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +21,43 @@ FEW_EDGES = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is set (tests on one machine) a new temporary one."""
+    """The shared folder of the session. Where none is set, a new temporary one in local mode, as in tests; on a cluster,
+    whose executors would each write to a disk of their own, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+_SCRATCH = "spark.millrace.scratch"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``saved`` writes inside go to a folder of their own, which is deleted at the end: write what is to
+    stay before. Outside of this tables stay until the shared folder is cleaned."""
+    before = spark.conf.get(_SCRATCH, None)
+    path = f"{scratch_dir(spark)}/millrace/scratch-{uuid.uuid4().hex}"
+    spark.conf.set(_SCRATCH, path)
+    try:
+        yield path
+    finally:
+        spark.conf.unset(_SCRATCH) if before is None else spark.conf.set(_SCRATCH, before)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def saved(df: DataFrame, tag: str, partition_by: str | None = None, aside: bool = True) -> DataFrame:
     """Writes ``df`` to a new Parquet table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and no block lives on one machine.
+    ``aside=False``: the table outlives the ``scratch`` around it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
+    path = f"{(aside and spark.conf.get(_SCRATCH, None)) or scratch_dir(spark) + '/millrace'}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     if partition_by:
@@ -69,13 +93,15 @@ def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({columns})"))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], out: str, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[str], out: str, buckets: int | None = None) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... without gaps inside each ``group``.
 
-    A group may hold any share of the rows: it is cut into ``buckets`` by a hash of ``order``, rows are numbered
-    inside a bucket, and each bucket starts where the counts of the ones before it end. The table of starts has
-    one row per group and bucket. Equal ``order`` values are numbered in arbitrary order.
+    A group may hold any share of the rows: it is cut into ``buckets`` (default: twice the shuffle partitions, 64 at
+    least) by a hash of ``order``, rows are numbered inside a bucket, and each bucket starts where the counts of the ones
+    before it end. The table of starts has one row per group and bucket. Equal ``order`` values are numbered in
+    arbitrary order.
     """
+    buckets = buckets or max(64, 2 * partitions(df.sparkSession))
     b, part = "__bucket", [group, "__bucket"]
     rows = df.withColumn(b, bucket_of(buckets, *order))
     starts = (

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -56,22 +55,19 @@ class Isotonic:
 
 
 def scored(docs: DataFrame, score: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Adds the ``columns`` (name, Spark type) that ``score`` computes of a list of texts.
-
-    Whole texts go through Arrow batches and leave with the carried columns (all by default). A column of docs with
-    one of the new names is replaced.
+    """Adds the ``columns`` (name, Spark type) that ``score`` computes of a list of texts to the carried columns (all by
+    default). Only the texts go through Arrow batches. A column of docs with one of the new names is replaced.
     """
     new = [c for c, _ in columns]
     keep = [c for c in (docs.columns if carry is None else carry) if c not in new]
     small_batches(docs.sparkSession)
-    fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, *(T.StructField(c, T._parse_datatype_string(t)) for c, t in columns)])
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    names = [c for c, _ in columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                found = score(b.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *found], [*keep, *new])
+    def run(texts: pa.Array) -> pa.Array:
+        found = score(texts.to_pylist())
+        return pa.StructArray.from_arrays(found, names)
 
-    return rows.mapInArrow(run, schema)
+    # as if it weren't deterministic: else a filter on the scores would compute them twice
+    judge = F.arrow_udf(run, ", ".join(f"{c} {t}" for c, t in columns)).asNondeterministic()
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), judge(F.col(text_col).cast("string")).alias("__judged"))
+    return rows.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"__judged.{c}").alias(c) for c in names))
