@@ -7,6 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline as p
+from millrace.llm.common import saved, scratch
 from millrace.llm.mixing import mix
 from millrace.llm.quality_nbsvm import fit_quality
 from millrace.llm.toxicity import fit_toxicity
@@ -61,3 +62,48 @@ def test_stages_on_empty_input(spark, docs):
     none = docs.where("false")
     for _, stage in p.STAGES:
         assert stage(spark, none, SF).collect() == []
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality", "near_duplicates", "mixing"])
+def test_stages_on_odd_rows(spark, odd_docs, name):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns: kept rows come back as they were."""
+    out = dict(p.STAGES)[name](spark, odd_docs, SF)
+    assert out.columns == odd_docs.columns
+    rows, before = [tuple(r) for r in out.collect()], [tuple(r) for r in odd_docs.collect()]
+    assert all(r in before for r in rows)
+    if name == "near_duplicates":
+        # 0 and 5 share a text, 6 and 7 words but for case; 1, 2 and 3 have none
+        assert sorted((r[0], r[1]) for r in rows if r[0] is not None and r[0] != 4) == sorted([(0, before[0][1]), (1, None), (2, ""), (3, " \t\n"), (5, "another text"), (6, "One  two")], key=lambda x: x[0])
+    else:  # equal rows are decided alike
+        assert all(rows.count(r) == before.count(r) for r in rows)
+
+
+def test_packing_stage_on_odd_rows(spark, odd_docs):
+    assert p.packing(spark, odd_docs, SF).count() == odd_docs.count()
+
+
+def test_stages_without_labels_drop_nothing(spark, docs, tmp_path):
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (p.toxicity, p.quality):
+        assert stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_near_duplicates_by_an_id_or_by_rows(spark, docs):
+    """With one repeated row the stage takes the other way and keeps the same documents."""
+    once = kept(p.near_duplicates(spark, docs, SF))
+    assert once == kept(p.near_duplicates(spark, docs.unionByName(docs.where("doc_id = 0")), SF))
+    comp = plain_components(plain_sets([r["text"] for r in docs.collect()], 5), [r["doc_id"] for r in docs.collect()], 80)
+    assert once == {i for i, c in comp.items() if i == c}
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    import glob
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{root}/millrace/*"))
+    with scratch(spark):
+        inner = saved(spark.range(5), "inner")
+        outer = saved(inner, "outer", aside=False)
+        assert inner.count() == 5
+    left = set(glob.glob(f"{root}/millrace/*")) - before
+    assert len(left) == 1 and "outer" in left.pop() and outer.count() == 5
