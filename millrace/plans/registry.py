@@ -86,7 +86,7 @@ def token_counts_by_lang(spark, sf_dir):
 
 @query
 def str_case(spark, sf_dir):
-    t = F.substring("text", 1, 80)
+    t = F.col("text")
     return documents(spark, sf_dir).select("doc_id", strings.to_lower(t).alias("lower"), strings.to_upper(t).alias("upper"))
 
 

@@ -95,7 +95,7 @@ o AS (SELECT page_id AS doc_id, token, coalesce(sum(strlen(token)) OVER (PARTITI
 SELECT doc_id, CASE WHEN regexp_matches(token, '^[A-Za-z]') THEN 'word' WHEN regexp_matches(token, '^[0-9]') THEN 'number' WHEN regexp_matches(token, '^[ \\t\\n\\r]') THEN 'blank' ELSE 'punctuation' END AS token_type,
 count(*) AS n, sum(strlen(token))::BIGINT AS bytes, max(position) AS last_position FROM o WHERE NOT regexp_matches(token, '^[A-Za-z]') OR strlen(token) <= 1000 GROUP BY 1, 2""",
     "token_counts_by_lang": f"SELECT lang, sum(len({_words('text')}))::BIGINT AS n_words, count(*) AS n_docs FROM documents GROUP BY 1",
-    "str_case": "SELECT doc_id, translate(left(text, 80), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower, translate(left(text, 80), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS upper FROM documents",
+    "str_case": "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS upper FROM documents",
     "str_normalize": "SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS normal FROM documents",
     "str_remove_punct": f"SELECT doc_id, translate(text, {quoted(PUNCTUATION)}, '') AS bare FROM documents",
     "str_trim": "SELECT doc_id, trim(' ' || chr(9) || text || chr(13) || chr(10) || ' ', ' ' || chr(9) || chr(10) || chr(13)) AS trimmed FROM documents",
