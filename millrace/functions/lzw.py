@@ -1,7 +1,11 @@
-"""LZW with 12-bit codes, packed low bits first, with an end code; the table stays as it is once full."""
+"""LZW with 12-bit codes, packed low bits first, with an end code; the table stays as it is once full.
+
+Each code depends on all before it, so a text is coded by a loop over its bytes, in Arrow batches of texts.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,50 +18,41 @@ SEEDS = 256
 
 
 def compress(data: bytes) -> bytes:
-    """The codes of the longest known strings, then the end code."""
-    table = {bytes([i]): i for i in range(SEEDS)}
-    codes, known = [], b""
-    for i in range(len(data)):
-        longer = known + data[i : i + 1]
-        if longer in table:
+    """The codes of the longest known strings, then the end code. A string is known by the code of its start and its last
+    byte, in one number."""
+    table: dict[int, int] = {}
+    codes, known = [], -1
+    for byte in data:
+        if known < 0:
+            known = byte
+        elif (longer := table.get(known << 8 | byte)) is not None:
             known = longer
-            continue
-        codes.append(table[known])
-        if len(table) < END:
-            table[longer] = len(table)
-        known = data[i : i + 1]
-    if known:
-        codes.append(table[known])
-    packed = pack_codes([*codes, END])
-    return packed
+        else:
+            codes.append(known)
+            if SEEDS + len(table) < END:
+                table[known << 8 | byte] = SEEDS + len(table)
+            known = byte
+    if known >= 0:
+        codes.append(known)
+    return pack_codes([*codes, END])
 
 
 def pack_codes(codes: list[int]) -> bytes:
-    out, held, width = bytearray(), 0, 0
-    for c in codes:
-        held |= c << width
-        width += BITS
-        while width >= 8:
-            out.append(held & 255)
-            held, width = held >> 8, width - 8
-    if width:
-        out.append(held & 255)
-    return bytes(out)
+    """Two codes fill three bytes; an odd last one two."""
+    c = np.array(codes + [0] * (len(codes) % 2), np.uint32)
+    pairs = c[::2] | c[1::2] << BITS
+    out = np.stack([pairs & 255, pairs >> 8 & 255, pairs >> 16], 1).astype(np.uint8).tobytes()
+    return out[: -(-len(codes) * BITS // 8)]
 
 
 def unpack_codes(data: bytes) -> list[int]:
     """The 12-bit codes up to the end code."""
-    codes, held, width = [], 0, 0
-    for byte in data:
-        held |= byte << width
-        width += 8
-        if width >= BITS:
-            code = held & END
-            if code == END:
-                break
-            codes.append(code)
-            held, width = held >> BITS, width - BITS
-    return codes
+    n = len(data) * 8 // BITS
+    raw = np.frombuffer(data + bytes(-len(data) % 3), np.uint8).reshape(-1, 3).astype(np.uint32)
+    pairs = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+    codes = np.stack([pairs & END, pairs >> BITS], 1).reshape(-1)[:n]
+    ends = np.flatnonzero(codes == END)
+    return codes[: ends[0] if len(ends) else n].tolist()
 
 
 def decompress(data: bytes) -> bytes:

@@ -37,6 +37,14 @@ def pattern(dialect: str, w: str = "w") -> str:
     return out
 
 
+def _next_pattern() -> str:
+    """The pattern of a word whose end was replaced, from the old pattern: a step changes the last four characters at most,
+    and what it adds holds no y, so a y there stands where it stood."""
+    n = "length(w)"
+    last = [f"CASE WHEN {n} < {k} THEN '' WHEN substring(w, {n} - {k - 1}, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'V' WHEN substring(w, {n} - {k - 1}, 1) = 'y' THEN substring(p, {n} - {k - 1}, 1) ELSE 'C' END" for k in (4, 3, 2, 1)]
+    return f"concat(left(p, {n} - 4), {', '.join(last)})"
+
+
 def _stem(n: int) -> str:
     return f"left(p, length(p) - {n})" if n else "p"
 
@@ -112,12 +120,11 @@ def stem_words(words: DataFrame, col: str = "word", out: str = "stem") -> DataFr
     kept = [f"`{c}`" for c in words.columns if c != out]
     word = f"`{col}`"
     low = f"translate({word}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    df = words.selectExpr(*kept, f"{low} AS w", "0 AS repair")
+    df = words.selectExpr(*kept, f"{low} AS w", "0 AS repair").selectExpr(*kept, "w", "repair", f"{pattern(SPARK)} AS p")
     for step, repair, (cut, add) in STEPS:
-        df = df.selectExpr(*kept, "w", "repair", f"{pattern(SPARK)} AS p")
         if "cut" in step:
             df = df.selectExpr(*kept, "w", "repair", "p", f"{cut} AS cut", f"{add} AS add")
-        df = df.selectExpr(*kept, f"{step} AS w", f"{repair} AS repair")
+        df = df.selectExpr(*kept, "p", f"{step} AS w", f"{repair} AS repair").selectExpr(*kept, "w", "repair", f"{_next_pattern()} AS p")
     return df.selectExpr(*kept, f"CASE WHEN octet_length({word}) < 3 THEN {word} ELSE w END AS `{out}`")
 
 
