@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .index import TextIndex
-from .ranking import score_terms
+from .ranking import batch_scores, score_terms
 
 STRENGTH = {"OR": 1, "AND": 2, "NOT": 3}
 
@@ -134,6 +135,33 @@ def boolean_query(index: TextIndex, query: str) -> DataFrame:
     return hits.where(predicate).select("doc_id").orderBy("doc_id")
 
 
+def batch_boolean(index: TextIndex, queries: dict[int, str]) -> DataFrame:
+    """(query_id, doc_id) of the documents that satisfy each query: one job, one flag a term, one predicate a query."""
+    spark = index.postings.sparkSession
+    trees = {q: parse(text) for q, text in queries.items()}
+    words = sorted({w for t in trees.values() for w in words_of(t)})
+    terms = dict(zip(words, index.normalized(words), strict=True))
+    flag = {t: f"f{i}" for i, t in enumerate(sorted(set(terms.values())))}
+    trees = {q: t for q, t in trees.items() if not isinstance(t, Nothing)}
+    if not trees:
+        return spark.createDataFrame([], "query_id long, doc_id long")
+    rule = lambda t: _fold(t, lambda w: F.col(flag[terms[w]]), lambda a: ~a, lambda a, b: a & b, lambda a, b: a | b, F.lit(False))
+    open_ = any(_fold(t, lambda w: False, lambda a: not a, lambda a, b: a and b, lambda a, b: a or b, False) for t in trees.values())
+    hits = index.postings.where(F.col("term").isin(list(flag))).groupBy("doc_id").agg(*(F.max(F.col("term") == t).alias(f) for t, f in flag.items()))
+    if open_:
+        hits = index.documents.select("doc_id").join(hits, "doc_id", "left").fillna(False, list(flag.values()))
+    found = F.array_compact(F.array(*(F.when(rule(t), F.lit(q).cast("long")) for q, t in trees.items())))
+    return hits.select(F.explode(found).alias("query_id"), "doc_id")
+
+
+def batch_ranked_boolean(index: TextIndex, queries: dict[int, str], k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, score): ``ranked_boolean_query`` of many queries, in one job."""
+    terms = index.batch_terms({q: " ".join(rank_words(text)) for q, text in queries.items()})
+    rows = batch_boolean(index, queries).join(batch_scores(index, terms), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
 # the algebra on lists of documents (DataFrames of doc_id)
 
 

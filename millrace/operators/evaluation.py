@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .boolean import ranked_boolean_query
+from .boolean import batch_ranked_boolean, parse
 from .index import TextIndex
 from .metrics import average_metrics, complete, query_metrics
 from .ranking import batch_search
@@ -47,28 +47,46 @@ def graded(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     return ranked.join(judged, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("grade", F.lit(0)).alias("grade"))
 
 
+def graded_by_document(ranked: DataFrame, grades: DataFrame) -> DataFrame:
+    """``graded`` where a document has one grade (doc_id, grade) for all queries."""
+    return ranked.join(grades, "doc_id", "left").select("query_id", F.col("rank"), F.coalesce("grade", F.lit(0)).alias("grade"))
+
+
+def planned(queries: dict[int, str]) -> dict[int, str]:
+    """The queries that can be asked; others are logged and left out."""
+    out = {}
+    for q, text in queries.items():
+        try:
+            parse(text)
+            out[q] = text
+        except Exception as e:
+            log.warning("query %s is left out: %s", q, e)
+    return out
+
+
 def evaluate(index: TextIndex, queries: dict[int, str], qrels: DataFrame | None = None, top_k: int = 10, mode: str = "tfidf", progress=None) -> tuple[DataFrame, DataFrame, int]:
     """(metrics of every query, their averages, number of queries).
 
     ``qrels``: (query_id, doc_id, grade); without it a ranking is graded by its own scores, and queries that find
-    nothing are left out. ``mode``: 'tfidf' runs all queries in one job; 'boolean' plans each. ``progress(share, text)``.
+    nothing are left out, as is a query that can't be asked; the number counts all. ``mode``: 'tfidf' or 'boolean'; both
+    run all queries in one job. ``progress(share, text)`` is told of the queries (0 to 0.3) and of the work on them.
     """
     tell = progress or (lambda share, text: log.info("%3.0f %% %s", 100 * share, text))
     spark, ks = index.postings.sparkSession, k_values(top_k)
     tell(0.0, f"{len(queries)} queries")
-    ranked = batch_search(index, {q: index.query_terms(text) for q, text in queries.items()}, top_k)
+    asked = planned(queries)
+    terms = index.batch_terms(asked)
+    tell(0.3, "ranking")
+    ranked = batch_search(index, terms, top_k)
     if qrels is None:
         qrels = pseudo_grades(ranked)
         counted = qrels.select("query_id").distinct()
     else:
-        counted = spark.createDataFrame([(q,) for q in queries], "query_id long")
-    tell(0.3, "ranking")
+        counted = spark.createDataFrame([(q,) for q in asked], "query_id long")
     if mode == "boolean":
-        ranked = None
-        order = Window.orderBy(F.desc("score"), "doc_id")
-        for q, text in queries.items():
-            one = ranked_boolean_query(index, text, top_k).select(F.lit(q).cast("long").alias("query_id"), F.row_number().over(order).alias("rank"), "doc_id", "score")
-            ranked = one if ranked is None else ranked.unionByName(one)
+        ranked = batch_ranked_boolean(index, asked, top_k)
+    tell(0.6, "metrics")
     metrics = complete(query_metrics(graded(ranked, qrels), ks, MAX_GRADE), counted, ks)
+    averages = average_metrics(metrics)
     tell(1.0, "done")
-    return metrics, average_metrics(metrics), len(queries)
+    return metrics, averages, len(queries)

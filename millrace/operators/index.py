@@ -1,15 +1,26 @@
-"""The inverted index as plain tables: documents, postings, doc_stats, terms, corpus."""
+"""The inverted index as plain tables: documents, postings, doc_stats, terms, corpus.
+
+A saved index is a folder of parts and a log. A save or an append first writes its tables as a part of its own and then
+adds one row to the log; readers take the last save and the appends behind it. So a write is there as a whole or not at
+all, and an append whose batch is in the log already does nothing. One writer at a time is assumed.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .pipeline import PipelineOptions, TextPipeline
+from .store import StoreOptions, pack_documents, unpack_documents
 
 TABLES = ("documents", "postings", "doc_stats")
+LOG = "step long, kind string, batch string, part string"
+SAVE, ADD, CLEAR = "save", "add", "clear"
+NO_DOCUMENTS, NO_POSTINGS = "doc_id long, text string", "term string, doc_id long, tf long"
 
 
 @dataclass
@@ -45,23 +56,60 @@ class TextIndex:
         stats = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
         return cls(docs, postings, stats, pipeline)
 
-    def save(self, path: str) -> TextIndex:
-        """Writes the tables, postings clustered by term so that a filter on terms prunes row groups; reads them back."""
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self._with_stats(self.documents, self.documents.sparkSession.read.parquet(f"{path}/postings"), self.pipeline).doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        return self.load(self.documents.sparkSession, path, self.pipeline.options)
+    def save(self, path: str, store: StoreOptions = StoreOptions()) -> TextIndex:
+        """Writes the tables, postings clustered by term so that a filter on terms prunes row groups; reads them back.
+        What was at ``path`` before is no longer read."""
+        spark = self.documents.sparkSession
+        _commit(spark, path, SAVE, uuid.uuid4().hex, self._write(path, store))
+        return self.load(spark, path, self.pipeline.options)
+
+    def _write(self, path: str, store: StoreOptions) -> str:
+        part = f"parts/{uuid.uuid4().hex}"
+        spark, at = self.documents.sparkSession, f"{path}/{part}"
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+        postings = spark.read.parquet(f"{at}/postings")
+        self._with_stats(self.documents, postings, self.pipeline).doc_stats.write.parquet(f"{at}/doc_stats")
+        pack_documents(self.documents, store).write.parquet(f"{at}/documents")
+        return part
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, options: PipelineOptions = PipelineOptions()) -> TextIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), TextPipeline(options))
+        """The index at ``path``; empty if there is none or it was cleared."""
+        parts = [f"{path}/{r['part']}" for r in _live(spark, path) if r["part"]]
+        if not parts:
+            return cls._with_stats(spark.createDataFrame([], NO_DOCUMENTS), spark.createDataFrame([], NO_POSTINGS), TextPipeline(options))
+        # a part may be stored in another form than its neighbours
+        documents = [unpack_documents(spark.read.parquet(f"{p}/documents")) for p in parts]
+        whole = documents[0]
+        for d in documents[1:]:
+            whole = whole.unionByName(d, allowMissingColumns=True)
+        return cls(whole, *(spark.read.parquet(*(f"{p}/{t}" for p in parts)) for t in TABLES[1:]), TextPipeline(options))
+
+    @classmethod
+    def append(cls, spark: SparkSession, path: str, docs: DataFrame, options: PipelineOptions = PipelineOptions(), *, batch: str | None = None, store: StoreOptions = StoreOptions()) -> TextIndex:
+        """Adds documents (doc_id, text, ...) with new ids to a saved index, once: a ``batch`` that was added since the
+        last save is left alone. Without a name a batch is known by its ids and texts."""
+        if batch is None:
+            n, mark = docs.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first()
+            batch = f"{n}:{mark}"
+        if not any(r["kind"] == ADD and r["batch"] == batch for r in _live(spark, path)):
+            _commit(spark, path, ADD, batch, cls.build(docs, options)._write(path, store))
+        return cls.load(spark, path, options)
 
     @classmethod
-    def append(cls, spark: SparkSession, path: str, docs: DataFrame, options: PipelineOptions = PipelineOptions()) -> TextIndex:
-        """Adds documents with new ids to a saved index."""
-        new = cls.build(docs, options)
-        for t in TABLES:
-            getattr(new, t).write.mode("append").parquet(f"{path}/{t}")
+    def add(cls, spark: SparkSession, path: str, docs: DataFrame, options: PipelineOptions = PipelineOptions(), *, order: str = "text", batch: str | None = None, store: StoreOptions = StoreOptions()) -> TextIndex:
+        """Adds documents (text, and title or others) under the next free ids, in the order of a column. Repeats of a
+        ``batch`` do nothing; without a name every call adds."""
+        from ..sources.ingest import number_documents
+
+        last = cls.load(spark, path, options).documents.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
+        numbered = number_documents(docs, order).withColumn("doc_id", (F.col("doc_id") + F.lit(last + 1)).cast("long"))
+        return cls.append(spark, path, numbered, options, batch=batch or uuid.uuid4().hex, store=store)
+
+    @classmethod
+    def clear(cls, spark: SparkSession, path: str, options: PipelineOptions = PipelineOptions()) -> TextIndex:
+        """Empties a saved index: ids start at 0 again."""
+        _commit(spark, path, CLEAR, uuid.uuid4().hex, "")
         return cls.load(spark, path, options)
 
     # statistics, each a table of its own: nothing is collected
@@ -110,6 +158,31 @@ class TextIndex:
 
     def query_terms(self, query: str) -> list[str]:
         """The terms of a query text, through the whole pipeline."""
-        spark = self.postings.sparkSession
-        row = spark.createDataFrame([(query,)], "q string").select(self.pipeline.tokenize(F.col("q")).alias("w")).first()
-        return self.normalized(list(row["w"]))
+        return self.batch_terms({0: query})[0]
+
+    def batch_terms(self, queries: dict[int, str]) -> dict[int, list[str]]:
+        """The terms of many query texts, in one job."""
+        if not queries:
+            return {}
+        asked = self.postings.sparkSession.createDataFrame(list(queries.items()), "doc_id long, text string")
+        found = {r["doc_id"]: list(r["terms"] or []) for r in self.pipeline.terms(asked).collect()}  # the queries' words
+        return {q: found.get(q, []) for q in queries}
+
+
+def _log(spark: SparkSession, path: str) -> list:
+    """The rows of the log, in order: as many as there were writes."""
+    try:
+        return spark.read.schema(LOG).parquet(f"{path}/log").orderBy("step", "part").collect()
+    except AnalysisException:
+        return []
+
+
+def _live(spark: SparkSession, path: str) -> list:
+    """The log from the last save or clearing on."""
+    rows = _log(spark, path)
+    return rows[max((i for i, r in enumerate(rows) if r["kind"] != ADD), default=0) :]
+
+
+def _commit(spark: SparkSession, path: str, kind: str, batch: str, part: str) -> None:
+    step = max((r["step"] for r in _log(spark, path)), default=-1) + 1
+    spark.createDataFrame([(step, kind, batch, part)], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")

@@ -77,5 +77,5 @@ def batch_search(index: TextIndex, queries: dict[int, list[str]], k: int = 10) -
 def hydrate(hits: DataFrame, documents: DataFrame, snippet: int = 500) -> DataFrame:
     """Hits joined to their documents; hits without a document are dropped. Adds a snippet of the text."""
     cut = F.concat(F.substring("text", 1, snippet), F.lit("..."))
-    # hits are at most k rows of a query
-    return documents.join(F.broadcast(hits), "doc_id").withColumn("snippet", cut)
+    # a few hits are broadcast by the planner; those of a large batch are joined by id
+    return documents.join(hits, "doc_id").withColumn("snippet", cut)

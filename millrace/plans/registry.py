@@ -358,9 +358,7 @@ def labelled_run(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A batch ranking, and its grades by the documents' quality labels."""
     ranked = ranking.batch_search(plain_index(spark, sf_dir), {i: q.split() for i, q in enumerate(c.BATCH)}, c.EVAL_K)
     quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("grade"))
-    queries_ = spark.createDataFrame([(i,) for i in range(len(c.BATCH))], "query_id long")
-    # the queries are the caller's
-    return ranked, evaluation.graded(ranked, quality.join(F.broadcast(queries_)))
+    return ranked, evaluation.graded_by_document(ranked, quality)
 
 
 def _metric(name: str, metric: str):

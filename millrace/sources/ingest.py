@@ -21,7 +21,9 @@ def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> Data
     """Raw records of JSON lines; blank and malformed lines are dropped. ``limit`` counts lines, blank and bad ones too."""
     lines = spark.read.text(path)
     if limit is not None:
-        lines = lines.limit(limit)
+        # the first lines of the first files by name: a limit alone takes them from any file
+        at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        lines = lines.select("value", *at, F.monotonically_increasing_id().alias("n")).orderBy("file_path", "file_block_start", "n").limit(limit).select("value")
     # a bad line gives a null record, a good one at least an object
     parsed = lines.where("trim(value) <> ''").select(F.from_json("value", T.StructType([*RAW, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
     return parsed.where("r IS NOT NULL AND r._bad IS NULL").select(*(F.col(f"r.{f.name}").alias(f.name) for f in RAW))
@@ -42,11 +44,42 @@ def store(documents: DataFrame, path: str, mode: str = "overwrite") -> DataFrame
     return documents.sparkSession.read.parquet(path)
 
 
+def upsert(documents: DataFrame, path: str, key: str = "external_id", progress=None) -> DataFrame:
+    """Adds documents to a store; those whose key is there already take the place of the old ones. Of equal keys in
+    ``documents`` the last by text stays. ``progress(share, text)``."""
+    tell = progress or (lambda share, text: log.info("%3.0f %% %s", 100 * share, text))
+    spark = documents.sparkSession
+    new = documents.groupBy(key).agg(F.max_by(F.struct(*documents.columns), "text").alias("d")).select("d.*")
+    tell(0.1, "merging")
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:
+        old = new.where("false")
+    merged = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    # a store can't be read and overwritten in one job
+    aside = f"{path.rstrip('/')}.new"
+    merged.write.mode("overwrite").parquet(aside)
+    tell(0.7, "writing")
+    out = store(spark.read.parquet(aside), path)
+    tell(1.0, "done")
+    return out
+
+
 def load_jsonl(spark: SparkSession, path: str, store_path: str, limit: int | None = None) -> DataFrame:
     """JSON lines to an overwritten store."""
     return store(extract_documents(read_jsonl(spark, path, limit)), store_path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder; where a session has none, as on one machine, as it is."""
+    spark = df.sparkSession
+    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        return df
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def number_documents(documents: DataFrame, order: str = "external_id", limit: int | None = None) -> DataFrame:
     """Adds doc_id: 0, 1, ... over the documents with text, in the given order.
 
@@ -58,6 +91,8 @@ def number_documents(documents: DataFrame, order: str = "external_id", limit: in
         rows = rows.orderBy(order).limit(limit)
     tie = F.xxhash64("text")
     ranged = rows.repartitionByRange(F.col(order), tie).sortWithinPartitions(F.col(order), tie).withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
+    # written, as both uses must see one partitioning
+    ranged = checkpointed(ranged)
     starts = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__n").alias("first"))
     starts = starts.withColumn("before", F.sum("n").over(Window.orderBy("__p")) - F.col("n")).select("__p", "before", "first")
     # as many rows as there are partitions
