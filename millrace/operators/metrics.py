@@ -61,6 +61,12 @@ def spread(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("metric", "k").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"))
 
 
+def metrics_cells(averages: DataFrame) -> DataFrame:
+    """(metric, cells): the values of a metric with four decimals, by rising k, between tabs."""
+    cells = F.array_sort(F.collect_list(F.struct("k", F.format_string("%.4f", "value").alias("text"))))
+    return averages.groupBy("metric").agg(F.array_join(F.transform(cells, lambda c: c["text"]), "\t").alias("cells"))
+
+
 def metrics_table(averages: DataFrame) -> str:
     """A tab-separated table with four decimals."""
     rows = averages.collect()  # metrics times k

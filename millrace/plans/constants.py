@@ -28,4 +28,8 @@ BOOLEAN = {
     "bool_malformed": "that AND",
     "bool_open_parenthesis": "(that OR with",
 }
+STEMMED_BOOLEAN = "(tioning OR withing) AND NOT thans"
+USER_LEMMAS = [("that", "first"), ("That", "thing"), ("ofs", "of"), ("the", "article")]
+ASKED_WORDS = ("the", "that", "zzz", "tion")
+GRID = (5, 10, 25, 50)
 METRIC_QUERIES = {"metric_precision": "P", "metric_dcg": "DCG", "metric_ndcg": "NDCG", "metric_err": "ERR"}

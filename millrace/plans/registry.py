@@ -14,6 +14,8 @@ from ..functions.tokens import TokenOptions, token_rows, words
 from ..operators import boolean, evaluation, metrics, ranking, zipf
 from ..operators.index import TextIndex
 from ..operators.pipeline import PipelineOptions, TextPipeline
+from ..operators.store import StoreOptions, pack_documents, unpack_documents
+from ..sources import ingest
 from . import constants as c
 from .sql import ORACLE_SQL
 
@@ -160,6 +162,14 @@ def stem_tfidf_topk(spark, sf_dir):
     return rounded(ranking.search(index, index.query_terms(c.STEM_QUERY), c.TOP_K))
 
 
+@query
+def lemma_user_entries(spark, sf_dir):
+    lexicon = Lexicon()
+    for word, lemma in c.USER_LEMMAS:
+        lexicon.add(word, lemma)
+    return lemmatize_words(vocabulary(spark, sf_dir), lexicon)
+
+
 @query
 def lemma_vocab(spark, sf_dir):
     return lemmatize_words(vocabulary(spark, sf_dir), Lexicon())
@@ -278,6 +288,17 @@ def bool_ranked_topk(spark, sf_dir):
     return rounded(boolean.ranked_boolean_query(plain_index(spark, sf_dir), c.RANKED_BOOLEAN, c.TOP_K))
 
 
+@query
+def bool_stemmed(spark, sf_dir):
+    return boolean.boolean_query(stemmed_index(spark, sf_dir), c.STEMMED_BOOLEAN)
+
+
+@query
+def bool_batch(spark, sf_dir):
+    asked = {i: text for i, text in enumerate(c.BOOLEAN.values())}
+    return boolean.batch_boolean(plain_index(spark, sf_dir), asked)
+
+
 # ranking
 
 
@@ -317,6 +338,12 @@ def tfidf_hydrated(spark, sf_dir):
     return rounded(hits.select("doc_id", "score", "source", "snippet"))
 
 
+@query
+def format_hits(spark, sf_dir):
+    hits = ranking.hydrate(ranking.search(plain_index(spark, sf_dir), c.QUERY, c.TOP_K), documents(spark, sf_dir))
+    return ingest.as_text(hits.withColumn("title", F.col("source"))).select("doc_id", "line")
+
+
 @query
 def snippets(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 500), F.lit("...")).alias("snippet"))
@@ -346,6 +373,12 @@ def zipf_verify(spark, sf_dir):
     return zipf.verify_law(zipf.analyze(zipf.word_frequencies(documents(spark, sf_dir)), 30).top)
 
 
+@query
+def zipf_frequency_of(spark, sf_dir):
+    asked = spark.createDataFrame([(w,) for w in c.ASKED_WORDS], "word string")
+    return zipf.frequency_of(zipf.word_frequencies(documents(spark, sf_dir)), asked)
+
+
 @query
 def type_token_ratio(spark, sf_dir):
     return rounded(zipf.type_token_ratio(zipf.word_frequencies(documents(spark, sf_dir))), "type_token_ratio")
@@ -381,6 +414,25 @@ def metrics_avg(spark, sf_dir):
     return rounded(metrics.average_metrics(metrics.complete(rows, queries_, c.KS)), "value")
 
 
+@query
+def metrics_text(spark, sf_dir):
+    rows = metrics.query_metrics(labelled_run(spark, sf_dir)[1], c.KS, evaluation.MAX_GRADE)
+    return metrics.metrics_cells(metrics.average_metrics(rows).withColumn("value", F.round("value", 4)))
+
+
+@query
+def eval_k_grid(spark, sf_dir):
+    return spark.createDataFrame([(n, k) for n in c.GRID for k in evaluation.k_values(n)], "top_k long, k long")
+
+
+@query
+def eval_synthetic_queries(spark, sf_dir):
+    """Every word of every synthetic query, with the place of the word in the fixed list."""
+    rows = [(q, w, evaluation.COMMON_WORDS.index(w)) for q, text in evaluation.synthetic_queries(50).items() for w in text.split()]
+    words_ = spark.createDataFrame(rows, "query_id long, word string, place long")
+    return words_.groupBy("query_id").agg(F.count("*").between(1, 3).alias("one_to_three"), (F.countDistinct("word") == F.count("*")).alias("no_repeat"))
+
+
 @query
 def metrics_spread(spark, sf_dir):
     rows = metrics.query_metrics(labelled_run(spark, sf_dir)[1], c.KS, evaluation.MAX_GRADE)
@@ -399,6 +451,36 @@ def eval_labels(spark, sf_dir):
     return graded.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("grade").cast("long").alias("grade"))
 
 
+# ingest and store
+
+
+@query
+def ingest_records(spark, sf_dir):
+    """Documents as JSON lines, with other lines between them, read back by their aliases."""
+    whole = F.struct(F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("content"), F.col("source").alias("name"), F.col("lang").alias("poet"))
+    lines = documents(spark, sf_dir).select(F.explode(F.array(F.to_json(whole), F.lit(""), F.lit("not json"))).alias("value"))
+    return ingest.extract_documents(ingest.parse_lines(lines))
+
+
+@query
+def ingest_numbered(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("external_id"), "text")
+    return ingest.number_documents(rows).select("external_id", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def _stored(name: str, options: StoreOptions):
+    def run(spark, sf_dir):
+        docs = documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("title"))
+        return unpack_documents(pack_documents(docs, options))
+
+    run.__name__ = name
+    return query(run)
+
+
+_stored("store_compressed", StoreOptions(compress=True))
+_stored("store_nothing", StoreOptions(documents=False, titles=False))
+
+
 # codec
 
 

@@ -150,5 +150,22 @@ count(*) >= 10 AND count(*) FILTER (rank <= 20 AND abs(ratio - 1) < 0.3) >= coun
     "eval_synthetic_grades": f"""WITH {RANKED}, t AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS share FROM r WHERE rank <= {c.EVAL_K})
 SELECT query_id::BIGINT AS query_id, doc_id, CASE WHEN share >= 0.8 THEN 2 WHEN share >= 0.5 THEN 1 ELSE 0 END::BIGINT AS grade FROM t""",
     "eval_labels": f"WITH {GRADED} SELECT query_id::BIGINT AS query_id, rank, grade FROM g",
+    "bool_stemmed": f"WITH {STEM_POST} SELECT doc_id FROM documents WHERE ({_has('tion')} OR {_has('with')}) AND NOT {_has('than')}",
+    "bool_batch": f"WITH {POST} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS query_id, doc_id FROM documents WHERE {BOOLEAN[name]}" for i, name in enumerate(c.BOOLEAN)),
+    "format_hits": f"""WITH {scores([c.QUERY])} SELECT doc_id, printf('[%d] (score: %.4f) %s', doc_id, s.score, source) || chr(10) || left(text, 200) || '...' || chr(10) AS line
+FROM s JOIN documents USING (doc_id) ORDER BY s.score DESC, doc_id LIMIT {c.TOP_K}""",
+    "zipf_frequency_of": f"WITH {FREQ}, a(word) AS (VALUES {', '.join(f'({quoted(w)})' for w in c.ASKED_WORDS)}) SELECT word, coalesce(freq, 0)::BIGINT AS freq FROM a LEFT JOIN freq USING (word)",
+    "metrics_text": f"""WITH {METRIC}, a AS (SELECT metric, k, round(avg(value), 4) AS value FROM m GROUP BY 1, 2)
+SELECT metric, string_agg(printf('%.4f', value), chr(9) ORDER BY k) AS cells FROM a GROUP BY 1""",
+    "eval_k_grid": """WITH t AS (SELECT unnest([5, 10, 25, 50])::BIGINT AS top_k), g AS (SELECT top_k, unnest([1, 3, 5, 10]) AS k FROM t WHERE top_k <= 10
+UNION SELECT top_k, unnest(range(top_k // 10, top_k + 1, top_k // 10)) FROM t WHERE top_k > 10 UNION SELECT top_k, unnest([1, top_k]) FROM t WHERE top_k > 10) SELECT top_k, k::BIGINT AS k FROM g WHERE k <= top_k""",
+    "eval_synthetic_queries": "SELECT unnest(range(1, 51))::BIGINT AS query_id, true AS one_to_three, true AS no_repeat",
+    "lemma_user_entries": f"""WITH {STEMMED}, own(form, lemma) AS (VALUES ('that', 'thing'), ('ofs', 'of'), ('the', 'article')),
+lex(form, lemma) AS (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in sorted(base_lexicon().items()))})
+SELECT word, coalesce(own.lemma, lex.lemma, stem) AS lemma FROM stems LEFT JOIN own ON word = own.form LEFT JOIN lex ON word = lex.form""",
+    "ingest_records": "SELECT doc_id::VARCHAR AS external_id, coalesce(text, '') AS text, coalesce(source, '') AS title, coalesce(lang, '') AS author, '' AS year FROM documents",
+    "ingest_numbered": "SELECT doc_id::VARCHAR AS external_id, row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS doc_id FROM documents WHERE length(text) > 0",
+    "store_compressed": "SELECT doc_id, text, source AS title FROM documents",
+    "store_nothing": "SELECT doc_id, '' AS text, '' AS title FROM documents",
     "lzw_roundtrip": "SELECT doc_id, text FROM documents",
 }

@@ -24,6 +24,11 @@ def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> Data
         # the first lines of the first files by name: a limit alone takes them from any file
         at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
         lines = lines.select("value", *at, F.monotonically_increasing_id().alias("n")).orderBy("file_path", "file_block_start", "n").limit(limit).select("value")
+    return parse_lines(lines)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Raw records of a table of lines (value)."""
     # a bad line gives a null record, a good one at least an object
     parsed = lines.where("trim(value) <> ''").select(F.from_json("value", T.StructType([*RAW, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
     return parsed.where("r IS NOT NULL AND r._bad IS NULL").select(*(F.col(f"r.{f.name}").alias(f.name) for f in RAW))

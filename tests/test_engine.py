@@ -12,6 +12,7 @@ from millrace import cli
 from millrace.operators import boolean, evaluation, metrics, ranking, zipf
 from millrace.operators.index import TextIndex
 from millrace.operators.pipeline import PipelineOptions, TextPipeline
+from millrace.operators.store import StoreOptions
 from millrace.sources import ingest
 from millrace.streaming.incremental import stream_into_index
 
@@ -241,3 +242,68 @@ def test_judged_queries(spark, tmp_path):
     assert queries.count() == 2 and [(r["doc_id"], r["grade"]) for r in qrels.collect()] == [(3, 2)]
     queries, _ = ingest.load_test_queries(spark, str(tmp_path / "none.json"))
     assert queries.count() == 0
+
+
+def frequencies(index):
+    return {r["term"]: r["df"] for r in index.document_frequencies().collect()}
+
+
+def test_appends_are_whole_and_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert TextIndex.load(spark, path).document_count().first()[0] == 0
+    index_of(spark, ["red apple", "apple"]).save(path)
+    once = frequencies(TextIndex.append(spark, path, docs([(2, "green apple")])))
+    assert once["apple"] == 3 and frequencies(TextIndex.append(spark, path, docs([(2, "green apple")]))) == once
+    TextIndex.append(spark, path, docs([(3, "pear")]), batch="b7")
+    assert TextIndex.append(spark, path, docs([(4, "other")]), batch="b7").document_count().first()[0] == 4
+    # a part that was written without its row in the log, as by a writer that died, isn't read
+    index_of(spark, ["lost"])._write(path, StoreOptions())
+    assert "lost" not in frequencies(TextIndex.load(spark, path))
+    # a save takes the place of all before it
+    index_of(spark, ["plum"]).save(path)
+    assert frequencies(TextIndex.load(spark, path)) == {"plum": 1}
+    assert TextIndex.clear(spark, path).document_count().first()[0] == 0
+    added = TextIndex.add(spark, path, spark.createDataFrame([("b",), ("a",), ("",)], "text string"))
+    assert {(r["doc_id"], r["text"]) for r in added.documents.collect()} == {(0, "a"), (1, "b")}
+    more = TextIndex.add(spark, path, spark.createDataFrame([("c",)], "text string"))
+    assert sorted(ids(more.documents)) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_stored_forms(spark, tmp_path, compress):
+    docs = spark.createDataFrame([(0, "Grüße, Welt", "T"), (1, "", None), (2, None, "U")], "doc_id long, text string, title string")
+    index = TextIndex.build(docs)
+    path = str(tmp_path / "index")
+    got = {r["doc_id"]: (r["text"], r["title"]) for r in index.save(path, StoreOptions(compress=compress)).documents.collect()}
+    assert got == {0: ("Grüße, Welt", "T"), 1: ("", None), 2: (None, "U")}
+    assert ("packed" in spark.read.parquet(f"{path}/parts/*/documents").columns) == compress
+    bare = index.save(path, StoreOptions(documents=False, compress=compress, titles=False))
+    assert {(r["doc_id"], r["text"], r["title"]) for r in bare.documents.collect()} == {(0, "", ""), (1, "", ""), (2, "", "")}
+    assert ids(ranking.search(bare, "welt")) == [0]
+
+
+def test_many_boolean_queries_at_once(fruit):
+    asked = {1: "(red OR green) AND NOT banana", 2: "red AND", 3: "NOT zzz", 4: "apple", 5: "zzz"}
+    got = {}
+    for r in boolean.batch_boolean(fruit, asked).collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert {q: sorted(d) for q, d in got.items()} == {q: found for q, text in asked.items() if (found := ids(boolean.boolean_query(fruit, text)))}
+    ranked = boolean.batch_ranked_boolean(fruit, {1: "NOT banana", 2: "red OR apple"}, 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in ranked] == [(q, r["doc_id"]) for q, text in ((1, "NOT banana"), (2, "red OR apple")) for r in boolean.ranked_boolean_query(fruit, text, 2).collect()]
+    assert fruit.batch_terms({1: "Running apples", 2: "", 3: "apples apples"}) == {1: ["run", "apple"], 2: [], 3: ["apple", "apple"]}
+
+
+def test_a_query_that_cannot_be_asked_is_left_out(courses):
+    told = []
+    per, mean, n = evaluation.evaluate(courses, {1: "learning", 2: None}, top_k=5, progress=lambda share, _: told.append(share))
+    assert n == 2 and {r["query_id"] for r in per.collect()} == {1} and told == sorted(told) and told[0] == 0 and told[-1] == 1
+
+
+def test_upsert(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    docs = lambda rows: spark.createDataFrame(rows, "external_id string, text string")
+    ingest.upsert(docs([("a", "1"), ("b", "1")]), path)
+    told = []
+    got = ingest.upsert(docs([("b", "2"), ("b", "3"), ("c", "1")]), path, progress=lambda share, _: told.append(share))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "1"), ("b", "3"), ("c", "1")] and told[-1] == 1.0
