@@ -1,6 +1,6 @@
 """Lemmas: irregular forms by lexicon, everything else by the stemmer.
 
-The lexicon is made of paradigms: a lemma with its irregular forms. Regular forms of irregular verbs (-s, -ing) and
+The lexicon is made of paradigms, as grammars of English list them: a lemma with its irregular forms. Regular forms of irregular verbs (-s, -ing) and
 compounds with verb prefixes follow by rule.
 """
 
@@ -31,18 +31,39 @@ bind: bound; wind: wound; grind: ground; dig: dug; stick: stuck; strike: struck
 cling: clung; fling: flung; sink: sank sunk; shrink: shrank shrunk; spring: sprang sprung; stink: stank stunk
 wake: woke woken; weave: wove woven; forgive: forgave forgiven; sweep: swept; weep: wept; creep: crept; bend: bent
 lend: lent; shoot: shot; slide: slid; shine: shone; feed: fed; breed: bred; flee: fled; lay: laid; light: lit
+arise: arose arisen; awake: awoke awoken; beat: beaten; bid: bade bidden; forbid: forbade forbidden; forsake: forsook forsaken
+bleed: bled; spin: spun; sling: slung; slink: slunk; string: strung; wring: wrung; win: won; spit: spat; sting: stung
+strive: strove striven; thrive: throve thriven; swell: swollen; shear: shorn; sew: sewn; sow: sown; saw: sawn; mow: mown
+show: shown; prove: proven; strew: strewn; hew: hewn; lade: laden; tread: trod trodden; slay: slew slain; smite: smote smitten
+speed: sped; spill: spilt; spoil: spoilt; spell: spelt; smell: smelt; learn: learnt; burn: burnt; dream: dreamt; lean: leant
+leap: leapt; kneel: knelt; dwell: dwelt; cleave: clove cloven; behold: beheld; beget: begot begotten; abide: abode
+hit: hit; cast: cast; cost: cost; hurt: hurt; burst: burst; bet: bet; quit: quit; rid: rid; shed: shed; shut: shut; slit: slit
+split: split; spread: spread; thrust: thrust; upset: upset; wed: wed; knit: knit; beset: beset; sweat: sweat; broadcast: broadcast
+forecast: forecast; befall: befell befallen; bespeak: bespoke bespoken; chide: chid chidden; clothe: clad; stride: strode stridden
 """
 NOUNS = """
 child: children; man: men; woman: women; person: people; foot: feet; tooth: teeth; goose: geese; mouse: mice
 louse: lice; ox: oxen; datum: data; criterion: criteria; phenomenon: phenomena; bacterium: bacteria
 curriculum: curricula; medium: media; analysis: analyses; hypothesis: hypotheses; thesis: theses
-parenthesis: parentheses; crisis: crises; basis: bases; axis: axes; index: indices; matrix: matrices; leaf: leaves
+parenthesis: parentheses; crisis: crises; basis: bases; axis: axes; index: indices; matrix: matrices
+cactus: cacti; fungus: fungi; nucleus: nuclei; stimulus: stimuli; radius: radii; alumnus: alumni; focus: foci; locus: loci
+syllabus: syllabi; terminus: termini; bacillus: bacilli; hippopotamus: hippopotami; octopus: octopi; corpus: corpora; genus: genera
+appendix: appendices; vertex: vertices; vortex: vortices; codex: codices; apex: apices; memorandum: memoranda; stratum: strata
+erratum: errata; addendum: addenda; symposium: symposia; aquarium: aquaria; stadium: stadia; millennium: millennia; spectrum: spectra
+referendum: referenda; ovum: ova; forum: fora; formula: formulae; alga: algae; larva: larvae; vertebra: vertebrae; nebula: nebulae
+antenna: antennae; alumna: alumnae; emphasis: emphases; synthesis: syntheses; diagnosis: diagnoses; oasis: oases; neurosis: neuroses
+synopsis: synopses; ellipsis: ellipses; automaton: automata; schema: schemata; stigma: stigmata; die: dice; penny: pence
+calf: calves; elf: elves; self: selves; scarf: scarves; hoof: hooves; sheaf: sheaves; dwarf: dwarves; wharf: wharves
+hero: heroes; potato: potatoes; tomato: tomatoes; echo: echoes; veto: vetoes; torpedo: torpedoes; grandchild: grandchildren
+policeman: policemen; policewoman: policewomen; fireman: firemen; salesman: salesmen; gentleman: gentlemen; fisherman: fishermen
+chairman: chairmen; sheep: sheep; deer: deer; fish: fish; series: series; species: species; means: means; aircraft: aircraft
+spacecraft: spacecraft; offspring: offspring; salmon: salmon; trout: trout; moose: moose; bison: bison; swine: swine; shrimp: shrimp
 life: lives; knife: knives; wife: wives; wolf: wolves; half: halves; shelf: shelves; thief: thieves; loaf: loaves
 """
 #: Loaded last: bad and good win over the adverbs badly and well.
-ADJECTIVES = "bad: worse worst; good: better best; far: farther farthest further furthest; little: less least; many: more most"
+ADJECTIVES = "bad: worse worst; good: better best; far: farther farthest further furthest; little: less least; much: more most"
 PREFIXES = {"under": "take go stand", "over": "take come throw run hang see", "with": "draw hold stand", "fore": "see tell", "mis": "take lead understand", "re": "write build make think take"}
-DOUBLED = set("get let set put run sit cut win swim dig forget begin".split())
+DOUBLED = set("get let set put run sit cut win swim dig forget begin hit bet bid forbid quit rid shed shut slit split spit spin upset wed knit beset beget".split())
 
 
 def _paradigms(text: str) -> Iterable[tuple[str, list[str]]]:
@@ -71,8 +92,9 @@ def base_lexicon() -> dict[str, str]:
     out: dict[str, str] = {}
     verbs = dict(_paradigms(VERBS))
     for lemma, forms in verbs.items():
-        for f in [*forms, *([] if lemma in ("be", "have", "do", "go", "lie") else _regular(lemma)), lemma]:
+        for f in [*forms, *([] if lemma in ("be", "have", "do", "go", "lie") else _regular(lemma))]:
             out[f] = lemma
+        out.setdefault(lemma, lemma)  # lay is a form of lie
     for prefix, bases in PREFIXES.items():
         for b in bases.split():
             for f in [*verbs[b], *_regular(b), b]:

@@ -23,7 +23,7 @@ internationalization internation responsibilities respons characterization chara
 syzygy syzygi national nation happiness happi nots not ands and ors or aed a Hi Hi""".split()
 
 # fixed values: words and their lemmas
-LEMMAS = """am be is be are be was be were be children child men man women woman feet foot teeth tooth better good best good worse bad worst bad
+LEMMAS = """lay lie leaves leave more much most much spun spin spinning spin arose arise cacti cactus stimuli stimulus series series swollen swell am be is be are be was be were be children child men man women woman feet foot teeth tooth better good best good worse bad worst bad
 running run cats cat went go took take gave give saw see taken take given give seen see written write spoken speak broken break
 data datum criteria criterion phenomena phenomenon bacteria bacterium curricula curriculum analyses analysis hypotheses hypothesis theses thesis
 parentheses parenthesis mice mouse geese goose oxen ox lice louse understood understand overthrown overthrow withdrawn withdraw
