@@ -33,6 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH = "spark.millrace.scratch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -57,20 +58,21 @@ def saved(df: DataFrame, tag: str, partition_by: str | None = None, aside: bool
     ``aside=False``: the table outlives the ``scratch`` around it.
     """
     spark = df.sparkSession
+    # Spark then deletes the shuffle files of this write at its end
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     path = f"{(aside and spark.conf.get(_SCRATCH, None)) or scratch_dir(spark) + '/millrace'}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if partition_by:
         schema = T.StructType([f for f in df.schema if f.name != partition_by] + [df.schema[partition_by]])
         return spark.read.schema(schema).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lowers the Arrow batch size of the session to ``rows``; never raises it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -11,8 +11,10 @@ Steps, each on all rows:
 
 1. Every text becomes a sorted array of 64-bit shingle hashes and a 128-bit id of the set. A flush is some thousand
    texts of one task; its equal sets are one.
-2. Tokens go, packed as byte planes, to partitions by value; those found in two or more places go back to their flush
-   with the frequency. A token of one place only can't be shared: it only fills the prefix.
+2. The distinct tokens of a flush go, packed as byte planes, to ranges by value, each with the number of its sets; those of
+   two or more sets in all go back to their flush with the frequency. So a token is counted in one place, but by flushes,
+   never by texts. The sets that hold it wait where the flush is gathered. A token of one set only can't be shared: it
+   only fills the prefix.
 3. Equal sets become one, and sets with enough shared tokens for any link are written out, with these tokens (enough for exact overlaps) and a
    1024-bit parity map of them, which bounds the difference of two sets from below.
 4. In the list of a signature, members are compared with a hub of the list; each member takes its nearest hub, and an
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, release, saved, small_batches
+from .common import components, partitions, saved, small_batches
 
 MAP_BITS = 1024
 SEEDS = 6
@@ -101,9 +103,9 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 def home(flush, parts: int):
     """The partition that gathers the sets of a flush (a number or an array of them), by a mixing hash."""
-    x = np.asarray(flush, np.int64).view(np.uint64) * _M1
+    x = np.atleast_1d(np.asarray(flush, np.int64)).view(np.uint64) * _M1
     at = part_of((x ^ (x >> np.uint64(29))) * _M2, parts)
-    return at if at.ndim else int(at)
+    return at if np.ndim(flush) else int(at[0])
 
 
 def cut(parts_sorted: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -114,20 +116,22 @@ def cut(parts_sorted: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(parts_sorted[a]), a, b
 
 
-def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, kind, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "blob"])
+def batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    part, flush, kind, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flush, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "flush", "kind", "blob"])
 
 
-PACKED = "part int, kind int, blob binary"
-DOCS, TOKENS, SHARED = 0, 1, 2
+PACKED = "part int, flush long, kind int, blob binary"
+DOCS, PLACES, TOKENS, SHARED = range(4)
+#: Distinct tokens of a flush whose places travel in one row.
+PIECE = 8192
 
 
-def chunks(rows: Iterator[tuple[int, int, bytes]], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(rows: Iterator[tuple[int, int, int, bytes]], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += len(r[2])
+        size += len(r[3])
         if size >= limit:
             yield batch(held)
             held, size = [], 0
@@ -136,10 +140,11 @@ def chunks(rows: Iterator[tuple[int, int, bytes]], limit: int = 8 << 20) -> Iter
 
 
 def make_sets(width: int, parts: int):
-    """Texts to packed rows: tokens by value, each with the place of its set in its flush; and, by the number of the
-    flush, the records (flush, place, doc_id, n, set id) of the documents. Equal sets of a flush share a place."""
+    """Texts to packed rows: the distinct tokens of a flush by value, with the number of their sets; and, where the flush
+    is gathered, the places of these sets, and the records (place, doc_id, n, set id) of the documents. Equal sets of a
+    flush share a place."""
 
-    def flush(number: int, ids: list, arrays: list) -> Iterator[tuple[int, int, bytes]]:
+    def flush(number: int, ids: list, arrays: list) -> Iterator[tuple[int, int, int, bytes]]:
         places: dict[bytes, int] = {}
         uniq: list[np.ndarray] = []
         keys = []
@@ -152,15 +157,22 @@ def make_sets(width: int, parts: int):
         place = np.array([places[k] for k in keys], np.uint16)
         ids_of_sets = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         n = np.array([len(a) for a in arrays], np.int64)
-        yield home(number, parts), DOCS, pack(np.full(len(ids), number, np.int64), place, np.array(ids, np.int64), n, ids_of_sets[:, 0], ids_of_sets[:, 1])
+        at = home(number, parts)
+        yield at, number, DOCS, pack(place, np.array(ids, np.int64), n, ids_of_sets[:, 0], ids_of_sets[:, 1])
         tok = np.concatenate(uniq)
         who = np.repeat(np.arange(len(uniq), dtype=np.uint16), [len(a) for a in uniq])
         o = np.argsort(tok, kind="stable")
         tok, who = tok[o], who[o]
+        starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.empty(0, np.int64)
+        ends = np.r_[starts, len(tok)]
+        tok, sets = tok[starts], np.diff(ends).astype(np.uint16)
+        for a in range(0, len(tok), PIECE):
+            b = min(len(tok), a + PIECE)
+            yield at, number, PLACES, a.to_bytes(4, "little") + pack(sets[a:b]) + pack(who[ends[a] : ends[b]])
         for p, a, b in cut(part_of(tok, parts * FINER)):
-            yield p, TOKENS, number.to_bytes(8, "little") + pack(tok[a:b], who[a:b])
+            yield p, number, TOKENS, a.to_bytes(4, "little") + pack(tok[a:b], sets[a:b])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
         number, ids, arrays, held = TaskContext.get().partitionId() << 24, [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -168,7 +180,7 @@ def make_sets(width: int, parts: int):
                 ids.append(NO_ID if i is None else i)
                 arrays.append(a)
                 held += len(a)
-                if held >= FLUSH_TOKENS or len(ids) == 1 << 16:
+                if held >= FLUSH_TOKENS or len(ids) == (1 << 16) - 1:
                     yield from flush(number, ids, arrays)
                     number, ids, arrays, held = number + 1, [], [], 0
         if ids:
@@ -177,51 +189,57 @@ def make_sets(width: int, parts: int):
     return lambda batches: chunks(rows(batches))
 
 
-def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
-    """The blobs of one partition number after another; rows come sorted by it."""
-    now, held = None, {}
-    for b in batches:
-        for part, kind, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            if part != now and held:
-                yield now, held
-                held = {}
-            now = part
-            held.setdefault(kind, []).append(blob)
-    if held:
-        yield now, held
-
-
 def return_shared(parts: int):
-    """Of the tokens of a partition, those in two or more places go back to their flush with the number of places."""
+    """Of the tokens of a range, those in two or more sets go back to their flushes, by number, with the frequency. Other
+    rows pass."""
+
+    def answers(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+        arrays = [unpack(blob, "u8 u2", 4)[0] for _, blob in held]
+        tok = np.concatenate([t for t, _ in arrays])
+        o = np.argsort(tok, kind="stable")
+        starts = np.flatnonzero(np.diff(tok[o], prepend=~tok[o][:1]))
+        df = np.empty(len(tok), np.int64)
+        df[o] = np.repeat(np.add.reduceat(np.concatenate([c for _, c in arrays])[o].astype(np.int64), starts), np.diff(np.r_[starts, len(tok)]))
+        at = 0
+        for (number, blob), (own, _) in zip(held, arrays, strict=True):
+            many = np.flatnonzero(df[at : at + len(own)] >= 2)
+            if len(many):
+                first = int.from_bytes(blob[:4], "little")
+                yield home(number, parts), number, SHARED, pack((first + many).astype(np.uint32), own[many], np.minimum(df[at + many], (1 << 32) - 1).astype(np.uint32))
+            at += len(own)
 
     def rows(batches):
-        for part, held in by_part(batches):
-            for blob in held.pop(DOCS, []):
-                yield part, DOCS, blob
-            if not held.get(TOKENS):
-                continue
-            toks, whos, flushes = [], [], []
-            for blob in held.pop(TOKENS):
-                (tok, who), _ = unpack(blob, "u8 u2", 8)
-                toks.append(tok), whos.append(who), flushes.append(np.full(len(tok), int.from_bytes(blob[:8], "little"), np.int64))
-            tok, who, number = (np.concatenate(x) for x in (toks, whos, flushes))
-            del toks, whos, flushes
-            o = np.argsort(tok, kind="stable")
-            tok = tok[o]
-            starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-            df = np.repeat(np.diff(np.r_[starts, len(tok)]), np.diff(np.r_[starts, len(tok)]))
-            many = df >= 2
-            tok, o, df = tok[many], o[many], df[many].astype(np.uint32)
-            who, number = who[o], number[o]
-            to = home(number, parts)
-            o = np.lexsort((who, number, to))
-            tok, who, number, df, to = tok[o], who[o], number[o], df[o], to[o]
-            for p, a, b in cut(to):
-                yield p, SHARED, pack(number[a:b], who[a:b], tok[a:b], df[a:b])
+        now, held = None, []
+        for b in batches:
+            for part, number, kind, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if kind != TOKENS:
+                    yield part, number, kind, blob
+                    continue
+                if part != now and held:
+                    yield from answers(held)
+                    held = []
+                now = part
+                held.append((number, blob))
+        if held:
+            yield from answers(held)
 
     return lambda batches: chunks(rows(batches))
 
 
+def by_flush(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[bytes]]]:
+    """The blobs of one flush after another, by kind; rows come sorted by it."""
+    now, held = None, {}
+    for b in batches:
+        for number, kind, blob in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            if number != now and held:
+                yield held
+                held = {}
+            now = number
+            held.setdefault(kind, []).append(blob)
+    if held:
+        yield held
+
+
 SETS = "kind int, doc_id long, n long, h1 long, h2 long, rare int, shared array<long>, parity array<long>"
 
 
@@ -236,24 +254,35 @@ def gather_sets(percent: int, rare_df: int):
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SETS.split(", ")])
 
     def run(batches):
-        for _, held in by_part(batches):
-            first: dict[tuple[int, int], tuple] = {}  # place of a set: n, smallest id, set id
-            for blob in held.pop(DOCS, []):
-                (number, place, doc, n, h1, h2), _ = unpack(blob, "i8 u2 i8 i8 i8 i8")
+        for held in by_flush(batches):
+            first: dict[int, tuple] = {}  # place of a set: smallest id, n, set id
+            for blob in held.pop(DOCS):
+                (place, doc, n, h1, h2), _ = unpack(blob, "u2 i8 i8 i8 i8")
                 yield emit(0, pa.array(doc, mask=doc == NO_ID), n, h1, h2, None, None, None)
-                for f, w, d, *rest in zip(*(x.tolist() for x in (number, place, doc, n, h1, h2)), strict=True):
-                    if d != NO_ID and ((f, w) not in first or d < first[f, w][0]):
-                        first[f, w] = d, *rest
-            shared = [unpack(b, "i8 u2 u8 u4")[0] for b in held.pop(SHARED, [])]
+                for w, d, *rest in zip(*(x.tolist() for x in (place, doc, n, h1, h2)), strict=True):
+                    if d != NO_ID and (w not in first or d < first[w][0]):
+                        first[w] = d, *rest
+            shared = [unpack(b, "u4 u8 u4")[0] for b in held.pop(SHARED, [])]
             if not shared:
                 continue
-            number, place, tok, df = (np.concatenate(x) for x in zip(*shared, strict=True))
-            o = np.lexsort((tok, df, place, number))
-            number, place, tok, df = number[o], place[o], tok[o], df[o]
-            starts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (place[1:] != place[:-1])])
+            counts, places = [], []
+            for blob in sorted(held.pop(PLACES), key=lambda b: int.from_bytes(b[:4], "little")):
+                (sets,), at = unpack(blob, "u2", 4)
+                counts.append(sets)
+                places.append(unpack(blob, "u2", at)[0][0])
+            sets, who = np.concatenate(counts).astype(np.int64), np.concatenate(places)
+            del counts, places
+            number, tok, df = (np.concatenate(x) for x in zip(*shared, strict=True))
+            n_sets = sets[number]
+            starts = (np.cumsum(sets) - sets)[number]
+            place = who[np.repeat(starts - np.cumsum(n_sets) + n_sets, n_sets) + np.arange(n_sets.sum())]
+            tok, df = np.repeat(tok, n_sets), np.repeat(df, n_sets)
+            o = np.lexsort((tok, df, place))
+            place, tok, df = place[o], tok[o], df[o]
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             out = []
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tok)], strict=True):
-                at = first.get((int(number[a]), int(place[a])))
+                at = first.get(int(place[a]))
                 if at is None or 100 * (b - a) < percent * at[1]:
                     continue
                 bits = np.bincount(tok[a:b] % np.uint64(MAP_BITS), minlength=MAP_BITS).astype(np.uint8) & 1
@@ -363,10 +392,8 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     moved = rows.mapInArrow(make_sets(width, parts), PACKED).repartition(parts, "part").sortWithinPartitions("part")
-    moved = moved.mapInArrow(return_shared(parts), PACKED).repartition(parts, "part").sortWithinPartitions("part")
+    moved = moved.mapInArrow(return_shared(parts), PACKED).repartition(parts, "part").sortWithinPartitions("flush", "kind")
     all_sets = saved(moved.mapInArrow(gather_sets(percent, rare_df), SETS), "sets", partition_by="kind")
-    del moved
-    release(spark)
     members = all_sets.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
     reps = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     sets = all_sets.where("kind = 1").withColumnRenamed("doc_id", "rep").select("rep", "n", "h1", "h2", "rare", "shared", "parity")
@@ -417,7 +444,6 @@ def set_links(sets: DataFrame, percent: int, seed_rounds: int) -> DataFrame:
 
     for round_ in range(seed_rounds):
         found = saved(verified(offered(signed(SEEDS, round_), facts, tried, percent, round_), sets, percent), "checked")
-        release(sets.sparkSession)
         tried = found if tried is None else tried.unionByName(found)
         if found.where("linked").isEmpty():
             break
@@ -443,7 +469,6 @@ def set_links(sets: DataFrame, percent: int, seed_rounds: int) -> DataFrame:
     near = saved(met, "met").join(left, "c1").join(right, "c2").where(may_link("x", "y", percent))
     near = near.select("c1", "c2", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least_difference("x", "y").alias("d"))
     near = saved(near.join(tried, ["a", "b"], "left_anti") if tried is not None else near, "near")
-    release(sets.sparkSession)
 
     first = near.groupBy("c1", "c2").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
     found = saved(verified(first, sets, percent), "checked")
