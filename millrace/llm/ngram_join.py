@@ -381,7 +381,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Defined results: a null, empty or word-less text has an empty set and is linked with nothing; a row with a null id
     is returned with null ids and linked with nothing; rows that repeat an id are all returned, each with the component
-    of its own text; an empty table gives an empty result; other columns are neither read nor returned.
+    of its own text, which the other texts of the id neither join nor widen; an empty table gives an empty result; other columns are neither read nor returned.
 
     ``rare_df``: up to this frequency tokens are indexed singly; pairs are about twice as many as single tokens. ``seed_rounds``: most rounds of hub comparisons before all that is left is compared. Neither changes the result.
     """
@@ -396,11 +396,19 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     all_sets = saved(moved.mapInArrow(gather_sets(percent, rare_df), SETS), "sets", partition_by="kind")
     members = all_sets.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
     reps = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    sets = all_sets.where("kind = 1").withColumnRenamed("doc_id", "rep").select("rep", "n", "h1", "h2", "rare", "shared", "parity")
-    sets = saved(sets.join(reps, ["h1", "h2", "rep"], "left_semi").drop("h1", "h2"), "distinct")
-
-    comp = components(set_links(sets, percent, seed_rounds))
-    facts = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
+    reps = saved(reps.withColumn("number", F.monotonically_increasing_id()), "reps")
+    # nodes are distinct sets: named by their smallest id, or, where an id has several, by the number of their row
+    unique = reps.groupBy("rep").count().where("count > 1").isEmpty()
+    nodes = reps.select("h1", "h2", "rep", F.col("rep" if unique else "number").alias("node"))
+    sets = all_sets.where("kind = 1").withColumnRenamed("doc_id", "rep").join(nodes, ["h1", "h2", "rep"])
+    sets = saved(sets.select(F.col("node").alias("rep"), "n", "rare", "shared", "parity"), "distinct")
+
+    comp = components(set_links(sets, percent, seed_rounds)).withColumnRenamed("id", "node")
+    if not unique:
+        comp = comp.join(nodes.select("node", "rep"), "node")
+        least = comp.groupBy("component").agg(F.min("rep").alias("least"))
+        comp = comp.join(least, "component").select("node", F.col("least").alias("component"))
+    facts = nodes.join(comp, "node", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     out = members.join(facts, ["h1", "h2"], "left")
     known = F.col("doc_id").isNotNull()
     out = out.select("doc_id", "n_shingles", F.when(known, F.coalesce("rep", "doc_id")).alias("copy_of"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))

@@ -90,6 +90,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert nj.ngram_jaccard_join(no_docs).collect() == []
 
 
+def test_repeated_ids_join_nothing(spark):
+    """Two unlike texts of one id, each near another document: these two stay apart."""
+    rng = random.Random(4)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    texts = [(5, a), (5, b), (3, a + " end"), (9, b + " end"), (9, b + " end"), (2, sentence(rng, 60))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS).repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in nj.ngram_jaccard_join(df).collect())
+    assert got == [(2, 2), (3, 3), (5, 3), (5, 5), (9, 5), (9, 5)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 4000), st.integers(51, 99), st.data())
 def test_similar_sizes_share_a_class(n, percent, data):
