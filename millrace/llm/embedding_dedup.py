@@ -258,21 +258,32 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
     ``block``: members, and askers by eight, of one unit of work.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
-    those of another dimension than most; a row with a null id is returned with null component and kept; equal vectors
-    link with each other; rows that repeat an id are judged each by its own vector, and only that vector's links make
-    its component; an empty table gives an empty result; other columns are ignored.
+    vectors of unlike dimensions, each of which has an index of its own; a row with a null id is returned with null
+    component and kept; equal vectors link with each other; rows that repeat an id are judged each by its own vector,
+    and only that vector's links make its component; an empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     keyed = saved(rows.mapInArrow(_keys, KEY), "units")
-    sizes = keyed.where("unit IS NOT NULL AND vec_id IS NOT NULL").groupBy(F.length("unit").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    none = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if sizes is None:
-        return keyed.select("vec_id", *none, F.lit(True).alias("kept"))
-    fit = (F.col("vec_id").isNotNull()) & (F.length("unit") == sizes["bytes"])
-    reps = saved(keyed.where(fit).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("unit", "vec_id").alias("unit")).withColumn("node", F.monotonically_increasing_id()), "vectors")
-    n, dims = reps.count(), sizes["bytes"] // 8
+    valid = keyed.where("unit IS NOT NULL AND vec_id IS NOT NULL")
+    facts = None
+    for size in sorted(r["bytes"] for r in valid.select(F.length("unit").alias("bytes")).distinct().collect()):  # mostly one
+        reps = valid.where(F.length("unit") == size).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("unit", "vec_id").alias("unit"))
+        reps = saved(reps.withColumn("node", F.monotonically_increasing_id()), "vectors")
+        own = _linked(reps, size // 8, cosine, sample, lists, subspaces, slack, probes, block, seed)
+        facts = own if facts is None else facts.unionByName(own)
+    if facts is None:
+        out = keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    else:
+        out = keyed.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(facts, "key", "left")
+        out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("vec_id", id_col)
+
+
+def _linked(reps: DataFrame, dims: int, cosine: float, sample: int, lists: int | None, subspaces: int, slack: float, probes: int | None, block: int, seed: int) -> DataFrame:
+    """(key, n, c) of distinct vectors of one dimension (key, rep, copies, unit, node): links and smallest id reachable."""
+    spark, n = reps.sparkSession, reps.count()
     chosen = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit")  # at most ``sample`` rows
     index = ProductIndex(matrix([bytes(r[0]) for r in chosen.toLocalIterator()], dims), lists or max(1, min(sample // 8, int(2 * math.sqrt(n)))), subspaces, cosine, slack, seed, probes)
 
@@ -297,8 +308,6 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, sample:
     nodes = reps.select("key", "node", "rep", "copies")
     facts = nodes.join(links.withColumnRenamed("a", "node"), "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left")
     facts = saved(facts.select("key", "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), "component"), "facts")
-    least = facts.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("c"))
-    facts = facts.join(least, "component", "left").select("key", "n", F.coalesce("c", "rep").alias("c"))
-    out = keyed.select("vec_id", F.when(fit, F.col("key")).alias("key")).join(facts, "key", "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("vec_id", id_col)
+    linked = facts.where("component IS NOT NULL")
+    least = linked.groupBy("component").agg(F.min("rep").alias("c"))
+    return linked.join(least, "component").select("key", "n", "c").unionByName(facts.where("component IS NULL").select("key", "n", F.col("rep").alias("c")))

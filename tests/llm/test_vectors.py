@@ -65,6 +65,20 @@ def test_repeated_ids_are_judged_by_their_own_vector(spark):
     assert got == [(2, 1, 2, True), (3, 1, 3, True), (5, 1, 5, True), (5, 1, 5, True), (9, 1, 2, False), (9, 1, 3, False)]
 
 
+def test_every_dimension_has_its_links(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for dims, n in ((3, 30), (8, 12), (1, 4)):
+        x = [rng.normal(size=dims) for _ in range(n)]
+        rows += [[float(v) for v in r] for r in [*x, *(2 * r for r in x[: n // 2])]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_duplicate_vectors(df, probes=None).collect()}
+    for dims in (3, 8, 1):
+        ids = [i for i, r in enumerate(rows) if len(r) == dims]
+        links, comp = brute(ids, [rows[i] for i in ids])
+        assert {i: got[i] for i in ids} == {i: (links[i], comp[i]) for i in ids}
+
+
 def test_work_of_a_vector_does_not_grow_with_the_lists():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 32))
