@@ -60,6 +60,8 @@ chairman: chairmen; sheep: sheep; deer: deer; fish: fish; series: series; specie
 spacecraft: spacecraft; offspring: offspring; salmon: salmon; trout: trout; moose: moose; bison: bison; swine: swine; shrimp: shrimp
 life: lives; knife: knives; wife: wives; wolf: wolves; half: halves; shelf: shelves; thief: thieves; loaf: loaves
 """
+#: Entries of a lexicon that is broadcast: some megabytes.
+FEW = 100_000
 #: Loaded last: bad and good win over the adverbs badly and well.
 ADJECTIVES = "bad: worse worst; good: better best; far: farther farthest further furthest; little: less least; much: more most"
 PREFIXES = {"under": "take go stand", "over": "take come throw run hang see", "with": "draw hold stand", "fore": "see tell", "mis": "take lead understand", "re": "write build make think take"}
@@ -124,6 +126,6 @@ def lemmatize_words(words: DataFrame, lexicon: Lexicon | None = None, col: str =
     """Adds the lemma of a column of words: the lexicon's for its lower-cased form, else the stem."""
     lex = (lexicon or Lexicon()).table(words.sparkSession)
     low = words.withColumn("__low", to_lower(F.col(col)))
-    # the lexicon lives in the driver's memory already: as small as its caller made it
-    joined = stem_words(low, "__low", "__stem").join(F.broadcast(lex), F.col("__low") == F.col("form"), "left")
+    few = len((lexicon or Lexicon()).entries) <= FEW
+    joined = stem_words(low, "__low", "__stem").join(F.broadcast(lex) if few else lex, F.col("__low") == F.col("form"), "left")
     return joined.withColumn(out, F.coalesce("lemma", "__stem")).select(*words.columns, out)

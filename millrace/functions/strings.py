@@ -85,6 +85,16 @@ def double_text(x: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", F.floor(x * power) / power)
 
 
+def append(text: Column, *parts: Column) -> Column:
+    """The text and what follows it; null parts count as empty."""
+    return F.concat(*(F.coalesce(p, F.lit("")) for p in (text, *parts)))
+
+
+def repeated(char: str, n: int) -> Column:
+    """A character n times."""
+    return F.repeat(F.lit(char), F.lit(n))
+
+
 def hex_encode(b: Column) -> Column:
     return F.lower(F.hex(b))
 

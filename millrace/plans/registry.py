@@ -126,6 +126,11 @@ def str_prefix_suffix(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", strings.starts_with(t, "Th").alias("starts"), strings.ends_with(t, ".").alias("ends"), strings.substr(t, 3, 5).alias("part"), strings.size_bytes(t).alias("bytes"), (t < "M").alias("before_m"))
 
 
+@query
+def str_append(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", strings.append(F.col("text"), F.lit(" "), F.col("source"), strings.repeated("!", 3)).alias("longer"))
+
+
 @query
 def str_numbers(spark, sf_dir):
     x = F.col("l_extendedprice").cast("double") / 7

@@ -103,6 +103,7 @@ count(*) AS n, sum(strlen(token))::BIGINT AS bytes, max(position) AS last_positi
     "str_find": """SELECT doc_id, (strpos(text, 'the') - 1)::BIGINT AS first_the, CASE WHEN strpos(substring(text, 21), 'the') > 0 THEN strpos(substring(text, 21), 'the') + 19 ELSE -1 END::BIGINT AS later_the,
 CASE WHEN strpos(text, 'a') > 0 THEN length(regexp_extract(text, '(?s)^(.*)a', 1)) ELSE -1 END::BIGINT AS last_a FROM documents""",
     "str_prefix_suffix": "SELECT doc_id, starts_with(text, 'Th') AS starts, ends_with(text, '.') AS ends, substring(text, 4, 5) AS part, strlen(text)::BIGINT AS bytes, text < 'M' AS before_m FROM documents",
+    "str_append": "SELECT doc_id, coalesce(text, '') || ' ' || coalesce(source, '') || repeat('!', 3) AS longer FROM documents",
     "str_numbers": "SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR AS key_text, printf('%.2f', floor(l_extendedprice::DOUBLE / 7 * 100) / 100) AS price_text FROM lineitem",
     "hex_roundtrip": "SELECT doc_id, (2 * strlen(text))::BIGINT AS n_digits, text FROM documents",
     "stem_vocab": f"WITH {STEMMED} SELECT word, stem FROM stems",
